@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import native_queries
+from . import model_queries, native_queries
 
-QUERIES = {**native_queries.QUERIES}
-SQL = {**native_queries.SQL}
+QUERIES = {**native_queries.QUERIES, **model_queries.QUERIES}
+SQL = {**native_queries.SQL, **model_queries.SQL}
