@@ -9,6 +9,7 @@ from .decontaminate import contamination
 from .lm_score import lm_scores
 from .packing import pack
 from .quality import quality_scores, train_quality
+from .toxicity import toxicity_scores, train_toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +29,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    return toxicity_scores(docs, train_toxicity(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("_good", F.lit(True))
     return lm_scores(_docs(spark, sf_dir).select("doc_id", "text").join(good, "doc_id", "left"), F.col("_good"))
 
 
-QUERIES = {"op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op10_lm_score": op10_lm_score}
+QUERIES = {"op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
 SQL: dict[str, str] = {}
