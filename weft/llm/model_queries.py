@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .lm_score import lm_scores
+from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores, train_quality
 from .toxicity import toxicity_scores, train_toxicity
@@ -16,6 +17,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir)).drop("_row")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir))
 
@@ -42,5 +47,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_docs(spark, sf_dir).select("doc_id", "text").join(good, "doc_id", "left"), F.col("_good"))
 
 
-QUERIES = {"op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
+QUERIES = {"op2_minhash": op2_minhash, "op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
 SQL: dict[str, str] = {}
