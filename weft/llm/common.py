@@ -30,6 +30,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of one table that ``staged`` returned, once nothing reads it any more."""
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table that ``staged`` left in the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weft")

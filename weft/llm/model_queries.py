@@ -10,6 +10,7 @@ from .lm_score import lm_scores
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores, train_quality
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores, train_toxicity
 
 
@@ -17,6 +18,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_docs(spark, sf_dir)).drop("kept")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir)).drop("_row")
 
@@ -47,5 +52,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_docs(spark, sf_dir).select("doc_id", "text").join(good, "doc_id", "left"), F.col("_good"))
 
 
-QUERIES = {"op2_minhash": op2_minhash, "op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
 SQL: dict[str, str] = {}
