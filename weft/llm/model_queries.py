@@ -49,7 +49,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("_good", F.lit(True))
-    return lm_scores(_docs(spark, sf_dir).select("doc_id", "text").join(good, "doc_id", "left"), F.col("_good"))
+    # Labels grow with the documents, so they are never broadcast, at no size.
+    return lm_scores(_docs(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"), F.col("_good"))
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_pack": op3_pack, "op4_decontaminate": op4_decontaminate, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
