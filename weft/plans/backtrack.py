@@ -1,0 +1,105 @@
+"""Search by backtracking in tasks, for patterns too long for a chain of joins.
+
+A pattern of k nodes is a join of k tables. Beyond some ten nodes it is cheaper
+to walk: the roots' ids are dealt to tasks and each task extends them depth first
+over an adjacency that it has been sent whole. That copy is why this takes graphs
+of up to ``most_edges`` edges only, which is counted before anything is sent;
+beyond it, joins are used.
+
+Bans, predicates and surjectivity stay with the joins: this enumerates injective
+and homomorphic mappings of the positive and negated get edges.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..model import ANY, Morphism
+from ..operators.graph import Graph
+from .compiler import CompiledQuery
+from .lowering import lower, name
+
+MOST_EDGES = 5_000_000
+
+
+def suits(query: CompiledQuery) -> bool:
+    return not query.bans and not query.surjective and not query.mixed and not any(x.has_predicate for x in [*query.nodes.values(), *query.edges]) and bool(query.order)
+
+
+def backtrack(graph: Graph, query: CompiledQuery, most_edges: int = MOST_EDGES) -> DataFrame:
+    """Same rows as the joins give."""
+    if not suits(query) or graph.edges.count() > most_edges:
+        return lower(graph, query)
+    view = graph.half.select("src", "dst", "slot").toArrow()
+    adjacency: dict[int, dict[int, set[str]]] = {}
+    for s, d, slot in zip(view.column(0).to_pylist(), view.column(1).to_pylist(), view.column(2).to_pylist(), strict=True):
+        adjacency.setdefault(s, {}).setdefault(d, set()).add(slot)
+    shared = graph.spark.sparkContext.broadcast(adjacency)
+    order, nodes = query.order, query.nodes
+    pinned = {p: nodes[p].pinned for p in order if nodes[p].pinned is not None}
+    morphism = nodes[order[0]].morphism
+    steps = []
+    for k, p in enumerate(order):
+        rules = [(q, [x.from_(q) for x in query.get_edges(False) if {x.a, x.b} == {p, q}], [x.from_(q) for x in query.get_edges(True) if {x.a, x.b} == {p, q}]) for q in order[: k + 1]]
+        steps.append((p, rules))
+    columns = [name(p) for p in sorted(order)]
+    exact = {p: query.degree(p) for p in order} if morphism is Morphism.ISO else {}
+    n_nodes = graph.node_count()
+    if morphism is Morphism.ISO and n_nodes != len(order):
+        return lower(graph, query).limit(0)
+
+    def run(batches):
+        adj = shared.value
+
+        def fits(m: dict[int, int], p: int, g: int, rules) -> bool:
+            if (p in pinned and pinned[p] != g) or (p in exact and len(set(adj.get(g, {})) - {g}) + (g in adj.get(g, {})) != exact[p]):
+                return False
+            for q, wanted, unwanted in rules:
+                here = m[q] if q != p else g
+                if q != p and morphism.injective and here == g:
+                    return False
+                slots = adj.get(here, {}).get(g, ())
+                if any(not slots if s == ANY else s not in slots for s in wanted) or any(bool(slots) if s == ANY else s in slots for s in unwanted):
+                    return False
+                if q != p and morphism.induced and len(slots) != len(wanted):
+                    return False
+            return True
+
+        def extend(m: dict[int, int], k: int, everyone):
+            if k == len(steps):
+                yield [m[p] for p in sorted(order)]
+                return
+            p, rules = steps[k]
+            near = [q for q, wanted, _ in rules if wanted and q != p]
+            pool = min((adj.get(m[q], {}) for q in near), key=len) if near else everyone
+            for g in sorted(pool):
+                if fits(m, p, g, rules):
+                    m[p] = g
+                    yield from extend(m, k + 1, everyone)
+                    del m[p]
+
+        for b in batches:
+            out = []
+            for g in b.column(0).to_pylist():
+                p, rules = steps[0]
+                if fits({}, p, g, rules):
+                    for row in extend({p: g}, 1, ids.value):
+                        out.append(row)
+                        if len(out) == 10_000:
+                            yield _batch(out, columns)
+                            out = []
+            yield _batch(out, columns)
+
+    linked = all(any(wanted for q, wanted, _ in rules if q != p) for p, rules in steps[1:])
+    # Only a pattern in several pieces walks over all ids.
+    ids = graph.spark.sparkContext.broadcast([] if linked else [r[0] for r in graph.nodes.select("id").collect()])
+    roots = graph.nodes.select(F.col("id")).repartition("id")
+    return roots.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def _batch(rows: list, columns: list[str]) -> pa.RecordBatch:
+    table = np.array(rows, np.int64).reshape(len(rows), len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(len(columns))], columns)
