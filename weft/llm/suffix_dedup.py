@@ -112,7 +112,7 @@ def _find_anchors(length: int):
                 text, place, left, right, gram, context = _anchors(data[low:high], np.array([0, high - low]), length)
                 place = place + low
                 # Anchors whose context the segment cuts short are seen whole in the next or the last one.
-                whole = (place - left <= max(0, place - (length - GRAM))) & (place + right >= np.minimum(place + length, len(data)))
+                whole = (place - left <= np.maximum(0, place - (length - GRAM))) & (place + right >= np.minimum(place + length, len(data)))
                 yield out(b.column("key"), (text[whole], place[whole], left[whole], right[whole], gram[whole], context[whole]))
 
     return run
