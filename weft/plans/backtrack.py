@@ -3,8 +3,8 @@
 A pattern of k nodes is a join of k tables. Beyond some ten nodes it is cheaper
 to walk: the roots' ids are dealt to tasks and each task extends them depth first
 over an adjacency that it has been sent whole. That copy is why this takes graphs
-of up to ``most_edges`` edges only, which is counted before anything is sent;
-beyond it, joins are used.
+of up to ``most_edges`` edges and nodes only, which are counted before anything is
+sent; beyond it, joins are used.
 
 Bans, predicates and surjectivity stay with the joins: this enumerates injective
 and homomorphic mappings of the positive and negated get edges.
@@ -22,7 +22,7 @@ from ..operators.graph import Graph
 from .compiler import CompiledQuery
 from .lowering import lower, name
 
-MOST_EDGES = 5_000_000
+MOST_EDGES = 1_000_000
 
 
 def suits(query: CompiledQuery) -> bool:
@@ -31,7 +31,8 @@ def suits(query: CompiledQuery) -> bool:
 
 def backtrack(graph: Graph, query: CompiledQuery, most_edges: int = MOST_EDGES) -> DataFrame:
     """Same rows as the joins give."""
-    if not suits(query) or graph.edges.count() > most_edges:
+    n_nodes = graph.node_count()
+    if not suits(query) or max(n_nodes, graph.edge_count()) > most_edges:
         return lower(graph, query)
     view = graph.half.select("src", "dst", "slot").toArrow()
     adjacency: dict[int, dict[int, set[str]]] = {}
@@ -47,7 +48,6 @@ def backtrack(graph: Graph, query: CompiledQuery, most_edges: int = MOST_EDGES)
         steps.append((p, rules))
     columns = [name(p) for p in sorted(order)]
     exact = {p: query.degree(p) for p in order} if morphism is Morphism.ISO else {}
-    n_nodes = graph.node_count()
     if morphism is Morphism.ISO and n_nodes != len(order):
         return lower(graph, query).limit(0)
 
