@@ -7,15 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``; a folder of our
-    own is used only where that setting is absent (single-machine tests).
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"file:/tmp/weft-{spark.sparkContext.applicationId}").rstrip("/")
+from ..sources.store import shared_folder
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -25,7 +17,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     table that several branches need from being computed once a branch.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft/{uuid.uuid4().hex}-{label}"
+    path = f"{shared_folder(spark)}/weft/{uuid.uuid4().hex}-{label}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,7 +31,7 @@ def drop_table(df: DataFrame) -> None:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table that ``staged`` left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weft")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/weft")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
