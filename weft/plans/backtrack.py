@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..model import ANY, Morphism
 from ..operators.graph import Graph
+from ..sources.store import map_arrow
 from .compiler import CompiledQuery
 from .lowering import lower, name
 
@@ -97,7 +98,7 @@ def backtrack(graph: Graph, query: CompiledQuery, most_edges: int = MOST_EDGES)
     # Only a pattern in several pieces walks over all ids.
     ids = graph.spark.sparkContext.broadcast([] if linked else [r[0] for r in graph.nodes.select("id").collect()])
     roots = graph.nodes.select(F.col("id")).repartition("id")
-    return roots.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return map_arrow(roots, run, ", ".join(f"{c} long" for c in columns))
 
 
 def _batch(rows: list, columns: list[str]) -> pa.RecordBatch:

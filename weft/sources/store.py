@@ -1,11 +1,16 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share, and Python code for executors."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names; a local folder only where that is unset."""
@@ -19,3 +24,17 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/weft-graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` on executors that may not have this package installed: it is sent to them once an application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp()) / "weft.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
