@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .words import hashed_words, mix, pieces_of, plain_text
 
 MASKS = ("11101011", "11001111")
@@ -138,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     [b.column("_id").take(pa.array(m["text"][where])), pa.array([index.value.items[k] for k in m["item"][where]], item_arrow), *ints], ["_id", "_item", "n_windows", "window", "agree", "word", "item_word"]
                 )
 
-        found = rows.mapInArrow(search, f"_id {id_type}, _item {item_type}, n_windows long, window long, agree long, word long, item_word long")
+        found = rows.transform(map_arrow, search, f"_id {id_type}, _item {item_type}, n_windows long, window long, agree long, word long, item_word long")
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"_id": id_col, "_item": item_col})
 
@@ -154,5 +155,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 clean[index.value.matches(*hashed_words(b.column("_plain")))["text"]] = False
                 yield b.filter(pa.array(clean))
 
-        out = out.mapInArrow(keep, out.schema)
+        out = out.transform(map_arrow, keep, out.schema)
     return out.drop("_plain")

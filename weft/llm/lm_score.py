@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .words import hashed_words, pieces_of, plain_text
 
 
@@ -48,7 +49,7 @@ def _pairs(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
-    counts = docs.select(plain_text(text_col).alias("_text")).mapInArrow(_count_words, "word long, n long")
+    counts = docs.select(plain_text(text_col).alias("_text")).transform(map_arrow, _count_words, "word long, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size - 1).select("word")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -65,7 +66,7 @@ def bigram_counts(docs: DataFrame, is_target: Column, vocab: np.ndarray, size: i
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
 
     rows = docs.select(plain_text(text_col).alias("_text"), F.coalesce(is_target, F.lit(False)).alias("_target"))
-    table = rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = rows.transform(map_arrow, count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, (size + 1) * size), np.float64)
     keys = table.column("pair").to_numpy()
     out[keys % 2, keys // 2] = table.column("n").to_numpy()
@@ -105,4 +106,4 @@ def lm_scores(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n, pa.int64()), pa.array(ce[0]), pa.array(ce[1]), pa.array(ce[1] - ce[0])], [id_col, "n_tokens", "ce_target", "ce_background", "score"])
 
     rows = docs.select(F.col(id_col).alias("_id"), plain_text(text_col).alias("_text"))
-    return rows.mapInArrow(score, f"`{id_col}` {id_type}, n_tokens long, ce_target double, ce_background double, score double")
+    return rows.transform(map_arrow, score, f"`{id_col}` {id_type}, n_tokens long, ce_target double, ce_background double, score double")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .common import staged, text_of
 from .components import components
 from .words import hashed_words, lists, mix, pieces_of, plain_text, shingles, sorted_unique
@@ -140,8 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = staged(
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"), plain_text(text_col).alias("_text")).mapInArrow(
-            _sketch(bands, rows_per_band, shingle, weighted), f"_id {id_type}, _row long, _k long, _n int, _set array<int>, _buckets array<long>"
+        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"), plain_text(text_col).alias("_text")).transform(
+            map_arrow, _sketch(bands, rows_per_band, shingle, weighted), f"_id {id_type}, _row long, _k long, _n int, _set array<int>, _buckets array<long>"
         ),
         "sketches",
     )

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .common import staged, text_of
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -109,5 +110,5 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
         if held:
             yield done(held)
 
-    out = pieces.mapInArrow(place, f"_id {id_type}, piece long, first long, n_tokens long, shard long, bin long, place long, capacity long")
+    out = pieces.transform(map_arrow, place, f"_id {id_type}, piece long, first long, n_tokens long, shard long, bin long, place long, capacity long")
     return out.withColumnRenamed("_id", id_col)

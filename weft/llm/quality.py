@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .common import text_of
 from .linear import Rows, fit, platt, sigmoid
 from .words import hashed_words, pieces_of, raw_bytes, sorted_unique
@@ -162,7 +163,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     table = (
         picked.withColumn("_h", F.xxhash64("_key", F.lit(9)))
         .select("_y", "_h", *[c for c in picked.columns if c not in ("_key", "_y")])
-        .mapInArrow(extract, "y double, h long, tf array<int>, tv array<float>, mf array<int>, mv array<float>")
+        .transform(map_arrow, extract, "y double, h long, tf array<int>, tv array<float>, mf array<int>, mv array<float>")
         .toArrow()
         .sort_by("h")
     )
@@ -192,7 +193,7 @@ def _scored(docs: DataFrame, model: CoTrained, text_col: str, meta_cols, keep_fr
             yield out if keep_from is None else out.filter(pa.array(p >= keep_from))
 
     fields = docs.select(*out_cols).schema.add("_score", "double")
-    return docs.select(*out_cols, *_inputs(docs, text_col, meta_cols)).mapInArrow(score, fields)
+    return docs.select(*out_cols, *_inputs(docs, text_col, meta_cols)).transform(map_arrow, score, fields)
 
 
 def quality_scores(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:

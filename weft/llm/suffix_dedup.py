@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .common import drop_table, staged, text_of
 from .words import mix, pieces_of, raw_bytes
 
@@ -245,14 +246,14 @@ def _sweep(df: DataFrame) -> None:
 def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
     """``key, runs``: for texts (named by a 64-bit hash) with repeated strings, the array of ``begin, end`` that cover them."""
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("bytes"))
-    anchors = staged(texts.where(F.octet_length("bytes") >= length).mapInArrow(_find_anchors(length), "key long, place long, left int, right int, gram long, context long"), "anchors")
+    anchors = staged(texts.where(F.octet_length("bytes") >= length).transform(map_arrow, _find_anchors(length), "key long, place long, left int, right int, gram long, context long"), "anchors")
     contexts = anchors.groupBy("context", "gram").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.min_by("left", "key").alias("left"), F.min_by("right", "key").alias("right"))
     contexts = staged(contexts, "contexts")
     _sweep(docs)
     open_ = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("gram")
     wanted = contexts.join(open_, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted"))
     # Copies of a text hash alike; the first of them that a task meets will do, as contexts are made distinct below.
-    cut = texts.join(wanted, "key").select("bytes", "wanted").mapInArrow(_cut_contexts, "context long, gram long, left int, right int, bytes binary")
+    cut = texts.join(wanted, "key").select("bytes", "wanted").transform(map_arrow, _cut_contexts, "context long, gram long, left int, right int, bytes binary")
     pieces = staged(cut.dropDuplicates(["context"]), "pieces")
     _sweep(docs)
     entries = pieces.select("*", F.col("gram").alias("group"), F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
@@ -279,7 +280,7 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, mo
     for s in small[1:]:
         shards = shards.unionByName(s)
     shards = shards.repartition("group").withColumn("suffix", F.expr("substring(bytes, left - low + 1)")).sortWithinPartitions("group", "suffix").select("context", "group", "low", "high", "left", "bytes")
-    induced = shards.mapInArrow(_induce_shard(length), "context long, begin int, end int")
+    induced = shards.transform(map_arrow, _induce_shard(length), "context long, begin int, end int")
     for s in settled:
         induced = induced.unionByName(s)
     whole = contexts.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("context", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
@@ -329,5 +330,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = repeated_runs(docs, text_col, length, most)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("bytes")).join(runs, "key", "left")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.select("_id", "bytes", "runs").mapInArrow(_strip(["_id"]), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.select("_id", "bytes", "runs").transform(map_arrow, _strip(["_id"]), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("_id", id_col)

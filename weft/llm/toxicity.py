@@ -9,7 +9,8 @@ opened, and the ``k`` found are exact. Their votes, weighted by cosine, are
 calibrated on the examples themselves (each without its own vote).
 
 The vectors span the words whose presence depends on the label among the
-examples (likelihood ratio over ``least_g2``); idf comes from all documents.
+examples: their likelihood ratio exceeds twice the log of the number of words, so
+that hardly a word passes by chance. idf comes from all documents.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import map_arrow
 from .linear import platt, sigmoid
 from .words import hashed_words, pieces_of, plain_text, sorted_unique
 
@@ -124,7 +126,7 @@ def _word_lists(batches):
         yield pa.RecordBatch.from_arrays([b.column("_key"), pa.ListArray.from_arrays(where, pa.array(values.view(np.int64))), pa.ListArray.from_arrays(where, pa.array(n, pa.int32()))], ["_key", "words", "counts"])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 6000, k: int = 32, least_g2: float = 10.8) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 6000, k: int = 32) -> Model:
     """Index the examples. ``labels`` has only rows that may be learned from; null ids, null labels and ids with differing labels are not used."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.min(label_col).cast("int").alias("_y"), F.max(label_col).cast("int").alias("_y2")).where("_y = _y2")
     sizes = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
@@ -135,14 +137,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     key_type = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("_key"), plain_text(text_col).alias("_text"))
     ids = docs.sparkSession.createDataFrame([(x,) for x in y_of], f"_key {key_type}")
-    table = keyed.join(F.broadcast(ids), "_key").mapInArrow(_word_lists, f"_key {key_type}, words array<long>, counts array<int>").toArrow()
+    table = keyed.join(F.broadcast(ids), "_key").transform(map_arrow, _word_lists, f"_key {key_type}, words array<long>, counts array<int>").toArrow()
     rows = sorted(((y_of[i], i, w.values.to_numpy().view(np.uint64), c.values.to_numpy()) for i, w, c in zip(table.column(0).to_pylist(), table.column(1), table.column(2), strict=True)), key=lambda r: (-r[0], r[1], len(r[2]))) if table.num_rows else []
     y = np.array([r[0] for r in rows], float)
     flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.uint64)
     vocab, inverse = np.unique(flat, return_inverse=True)
     a = np.bincount(inverse, np.repeat(y, [len(r[2]) for r in rows]), len(vocab)) if rows else np.zeros(0)
     b = np.bincount(inverse, minlength=len(vocab)) - a if rows else np.zeros(0)
-    vocab = vocab[_g2(a, b, int(y.sum()), int(len(y) - y.sum())) > least_g2] if 0 < y.sum() < len(y) else vocab[:0]
+    vocab = vocab[_g2(a, b, int(y.sum()), int(len(y) - y.sum())) > 2 * np.log(len(vocab))] if 0 < y.sum() < len(y) else vocab[:0]
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def count(batches):
@@ -157,7 +159,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 seen += np.bincount(np.unique(doc * len(shared.value) + place[ok]) % len(shared.value), minlength=len(shared.value))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(seen)), -1)), pa.array(np.append(seen, total))], ["term", "n"])
 
-    frequency = {r[0]: r[1] for r in keyed.select("_text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    frequency = {r[0]: r[1] for r in keyed.select("_text").transform(map_arrow, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = frequency.get(-1, 0)
     idf = np.array([np.log((total + 1) / (frequency.get(t, 0) + 1)) + 1 for t in range(len(vocab))])
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -206,4 +208,4 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), evidence], ["_key", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("_key"), plain_text(text_col).alias("_text"))
-    return rows.mapInArrow(score, f"_key {key_type}, score double, predicted int, evidence array<struct<id:{key_type},cosine:double>>").withColumnRenamed("_key", id_col)
+    return rows.transform(map_arrow, score, f"_key {key_type}, score double, predicted int, evidence array<struct<id:{key_type},cosine:double>>").withColumnRenamed("_key", id_col)
