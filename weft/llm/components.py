@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dealt_anew, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(smallest, both["u"] == smallest["w"]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("w"), "m")
         small = large.join(least, large["u"] == least["w"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = staged(small, "edges")
         new = _mark(now)

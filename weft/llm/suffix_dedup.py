@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import drop_table, staged, text_of
+from .common import dealt_anew, drop_table, staged, text_of
 from .words import mix, pieces_of, raw_bytes
 
 GRAM = 32
@@ -250,16 +250,16 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, mo
     contexts = anchors.groupBy("context", "gram").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.min_by("left", "key").alias("left"), F.min_by("right", "key").alias("right"))
     contexts = staged(contexts, "contexts")
     _sweep(docs)
-    open_ = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("gram")
-    wanted = contexts.join(open_, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted"))
+    open_ = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select(dealt_anew("gram").alias("g"))
+    wanted = contexts.join(open_, contexts["gram"] == open_["g"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted")).select(dealt_anew("key").alias("k"), "wanted")
     # Copies of a text hash alike; the first of them that a task meets will do, as contexts are made distinct below.
-    cut = texts.join(wanted, "key").select("bytes", "wanted").transform(map_arrow, _cut_contexts, "context long, gram long, left int, right int, bytes binary")
+    cut = texts.join(wanted, texts["key"] == wanted["k"]).select("bytes", "wanted").transform(map_arrow, _cut_contexts, "context long, gram long, left int, right int, bytes binary")
     pieces = staged(cut.dropDuplicates(["context"]), "pieces")
     _sweep(docs)
     entries = pieces.select("*", F.col("gram").alias("group"), F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
     small, settled = [], []
     while True:
-        sizes = entries.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed("group", "g")
+        sizes = entries.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select(dealt_anew("group").alias("g"), "members")
         counted = entries.join(sizes, entries["group"] == sizes["g"]).drop("g")
         small.append(counted.where((F.col("members") <= most) & (F.col("low") < F.col("high"))).drop("members"))
         settled.append(counted.where("low = high").select("context", (-F.col("low")).alias("begin"), (F.lit(length) - F.col("low")).alias("end")))
