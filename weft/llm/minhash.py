@@ -16,27 +16,30 @@ Links are found without pairing all members of a bucket:
 
 * documents with equal sets are one node, however many copies there are
 * in each bucket every node is compared with one leader; components follow
-* where a bucket still spans several components, the others are compared with
-  a further leader of it (``rounds`` times)
-* what still spans several components is compared across them, pair by pair.
-  There the leader serves as a pivot: 1 - Jaccard is a metric, so two nodes whose
-  distances to it differ by more than 0.2 can't be within 0.2 of each other, and
-  neither can sets whose sizes differ too much. No other pair is left out.
+* where a bucket still spans several components, nodes of other components are
+  compared with a further leader (``rounds`` times)
+* what still spans several components is compared across them
+
+Before sets are fetched, a pair must pass two exact bounds: sizes within the
+threshold, and a parity map. Every element flips one of 512 bits, so the bits in
+which two maps differ are a lower bound of how many elements the sets don't
+share. No pair that could reach the threshold is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import staged, text_of
+from .common import dealt_anew, staged, text_of
 from .components import components
 from .words import hashed_words, lists, mix, pieces_of, plain_text, shingles, sorted_unique
 
 BANDS, ROWS = 30, 5
+PARITY_WORDS = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,8 +120,13 @@ def _sketch(bands: int, rows: int, n: int, weighted: bool):
             sets = lists((values[take] >> np.uint64(32)).astype(np.uint32).view(np.int32), some_at, pa.int32())
             keys = band_keys(signatures(values[take], weights[take], some_at, bands * rows), bands, rows)
             buckets = lists(keys.ravel().view(np.int64), np.arange(len(keys) + 1) * bands, pa.int64())
+            parity = np.zeros(len(some_at[:-1]) * PARITY_WORDS, np.uint64)
+            spread = mix(values[take] + np.uint64(77))
+            word = np.repeat(np.arange(len(some_at) - 1), np.diff(some_at)) * PARITY_WORDS + (spread % np.uint64(PARITY_WORDS)).astype(np.int64)
+            np.bitwise_xor.at(parity, word, np.uint64(1) << (spread >> np.uint64(58)))
+            maps = lists(parity.view(np.int64), np.arange(len(some_at)) * PARITY_WORDS, pa.int64())
             spot = pa.array(np.where(new, np.cumsum(new) - 1, 0), mask=~new)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(key), pa.array(size, pa.int32()), sets.take(spot), buckets.take(spot)], ["_id", "_row", "_k", "_n", "_set", "_buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(key), pa.array(size, pa.int32()), sets.take(spot), buckets.take(spot), maps.take(spot)], ["_id", "_row", "_k", "_n", "_set", "_buckets", "_map"])
 
     return run
 
@@ -142,63 +150,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = staged(
         docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"), plain_text(text_col).alias("_text")).transform(
-            map_arrow, _sketch(bands, rows_per_band, shingle, weighted), f"_id {id_type}, _row long, _k long, _n int, _set array<int>, _buckets array<long>"
+            map_arrow, _sketch(bands, rows_per_band, shingle, weighted), f"_id {id_type}, _row long, _k long, _n int, _set array<int>, _buckets array<long>, _map array<long>"
         ),
         "sketches",
     )
-    flat = rows.where("_buckets IS NOT NULL").select("_k", "_n", F.explode("_buckets").alias("bucket"))
-    leaders = flat.groupBy("bucket").agg(F.min("_k").alias("lead"), F.max("_k").alias("most")).where("lead < most").select(F.col("bucket").alias("_b"), "lead")
-    shared = staged(flat.join(leaders, flat["bucket"] == leaders["_b"]).select("bucket", "_k", "_n", "lead").distinct(), "buckets")
-    sets = rows.where("_set IS NOT NULL").select("_k", "_set")
-    involved = shared.select("_k").distinct()
-    sets = staged(sets.join(involved, "_k", "left_semi").dropDuplicates(["_k"]), "sets")
+    flat = rows.where("_buckets IS NOT NULL").select("_k", F.explode("_buckets").alias("bucket"))
+    crowded = flat.groupBy("bucket").agg(F.min("_k").alias("lead"), F.max("_k").alias("most")).where("lead < most").select(dealt_anew("bucket").alias("_b"))
+    shared = staged(flat.join(crowded, flat["bucket"] == crowded["_b"], "left_semi").distinct(), "buckets")
+    involved = shared.select(dealt_anew("_k").alias("_i")).distinct()
+    payload = rows.where("_set IS NOT NULL").select("_k", "_n", "_map", "_set")
+    nodes = staged(payload.join(involved, payload["_k"] == involved["_i"], "left_semi").dropDuplicates(["_k"]), "nodes")
+    shared = staged(shared.join(nodes.select("_k", "_n", "_map"), "_k").select("bucket", "_k", "_n", *[F.get("_map", F.lit(w)).alias(f"m{w}") for w in range(PARITY_WORDS)]), "buckets")
+    own = ["_k", "_n", "root", *[f"m{w}" for w in range(PARITY_WORDS)]]
+
+    def close(one: str, two: str) -> Column:
+        """Different components, and within both bounds."""
+        n1, n2 = F.col(f"{one}_n"), F.col(f"{two}_n")
+        apart = sum((F.bit_count(F.col(f"{one}m{w}").bitwiseXOR(F.col(f"{two}m{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
+        sizes = (n1 >= n2 * threshold - 1) & (n2 >= n1 * threshold - 1)
+        return (F.col(f"{one}root") != F.col(f"{two}root")) & sizes & (apart <= (1 - threshold) / (1 + threshold) * (n1 + n2) + 1e-6)
+
+    def prefixed(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in ["bucket", *own]])
 
     def verify(pairs: DataFrame) -> DataFrame:
         """``a, b, j`` of distinct pairs."""
-        one, two = sets.select(F.col("_k").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_k").alias("b"), F.col("_set").alias("_sb"))
+        one, two = nodes.select(F.col("_k").alias("a"), F.col("_set").alias("_sa")), nodes.select(F.col("_k").alias("b"), F.col("_set").alias("_sb"))
         both = F.size(F.array_intersect("_sa", "_sb"))
         return staged(pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("_sa") + F.size("_sb") - both)).alias("j")), "verified")
 
-    checked = verify(shared.where("_k <> lead").select(F.col("lead").alias("a"), F.col("_k").alias("b")).distinct())
-    pivots = checked
-    roots = components(checked.where(F.col("j") >= threshold).select("a", "b"))
-
-    def spanning() -> DataFrame:
-        """Rows of ``shared``, with their components, of buckets that span several."""
-        here = shared.join(roots, shared["_k"] == roots["node"], "left").select("bucket", "_k", "_n", "lead", F.coalesce("root", "_k").alias("root"))
-        wide = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("bucket").alias("_b"))
-        return here.join(wide, here["bucket"] == wide["_b"], "left_semi")
-
-    def unseen(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-
-    for turn in range(1, rounds + 2):
-        open_ = staged(spanning(), "open")
+    checked, roots = None, None
+    for turn in range(rounds + 2):
+        here = shared.withColumn("root", F.col("_k"))
+        if roots is not None:
+            here = shared.join(roots, shared["_k"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "_k"))
+        wide = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(dealt_anew("bucket").alias("_b"))
+        open_ = staged(here.join(wide, here["bucket"] == wide["_b"], "left_semi"), "open")
         if open_.isEmpty():
             break
+        right = prefixed(open_, "b")
         if turn <= rounds:
-            # x -> x XOR h(bucket, turn) is a bijection, so its minimum is a random member by which all partial results agree.
-            noise = F.xxhash64("bucket", F.lit(turn))
-            lead = open_.groupBy("bucket").agg(F.min(F.col("_k").bitwiseXOR(noise)).alias("x")).select(F.col("bucket").alias("_b"), F.col("x").bitwiseXOR(noise).alias("pick"))
-            named = open_.join(lead, open_["bucket"] == lead["_b"])
-            pairs = named.where("_k <> pick").select(F.least("_k", "pick").alias("a"), F.greatest("_k", "pick").alias("b"))
+            # x -> x XOR h(bucket, turn) is a bijection, so its minimum is a random member on which all partial results agree.
+            noise = F.xxhash64("bucket", F.lit(turn)) if turn else F.lit(0).cast("long")
+            lead = open_.groupBy("bucket").agg(F.min(F.col("_k").bitwiseXOR(noise)).alias("x")).select(dealt_anew("bucket").alias("_b"), F.col("x").bitwiseXOR(noise).alias("pick"))
+            left = prefixed(open_.join(lead, (F.col("bucket") == F.col("_b")) & (F.col("_k") == F.col("pick"))), "a")
+            pairs = right.join(left, (F.col("abucket") == F.col("bbucket")) & close("a", "b"))
         else:
-            far = 1 - threshold
-            d = pivots.select(F.col("a").alias("_pa"), F.col("b").alias("_pb"), (1 - F.col("j")).alias("d"))
-            placed = open_.join(d, (open_["lead"] == d["_pa"]) & (open_["_k"] == d["_pb"]), "left").select("bucket", "_k", "_n", "root", F.coalesce("d", F.lit(0.0)).alias("d"))
-            left = placed.toDF("bucket", "a", "na", "ra", "da")
-            right = placed.toDF("bucket2", "b", "nb", "rb", "db")
-            near = (F.col("bucket") == F.col("bucket2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= far + 1e-6)
-            near &= (F.col("na") >= F.col("nb") * threshold - 2) & (F.col("nb") >= F.col("na") * threshold - 2)
-            pairs = left.join(right, near).select("a", "b")
-        fresh = verify(unseen(pairs))
-        checked = checked.unionByName(fresh)
-        links = fresh.where(F.col("j") >= threshold)
-        if not links.isEmpty():
+            pairs = prefixed(open_, "a").join(right, (F.col("abucket") == F.col("bbucket")) & (F.col("a_k") < F.col("b_k")) & close("a", "b"))
+        pairs = pairs.select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b")).distinct()
+        fresh = verify(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        checked = fresh if checked is None else checked.unionByName(fresh)
+        if roots is None or not fresh.where(F.col("j") >= threshold).isEmpty():
             roots = components(checked.where(F.col("j") >= threshold).select("a", "b"))
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
     named = rows.select("_id", "_row", "_k").join(roots, F.col("_k") == F.col("node"), "left").select("_id", "_row", F.coalesce("root", "_k").alias("_class"))
     named = staged(named, "classes")
-    sizes = named.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("_class", "_c")
+    sizes = named.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count("*").alias("class_size")).select(dealt_anew("_class").alias("_c"), "class_id", "class_size")
     return named.join(sizes, named["_class"] == sizes["_c"]).select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), "_row")
 
 
