@@ -201,7 +201,7 @@ def _covered(repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     change = np.zeros((n, windows - 1 + length + 1), np.int16)
     change[:, :windows] += repeated[:, ::-1]
     change[:, length : length + windows] -= repeated[:, ::-1]
-    inside = np.cumsum(change, 1) > 0
+    inside = np.cumsum(change, 1, dtype=np.int16) > 0
     edge = np.diff(np.concatenate([np.zeros((n, 1), np.int8), inside.astype(np.int8)], 1), axis=1)
     row, begin = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
@@ -215,7 +215,10 @@ def _induce_shard(length: int, batch_rows: int = 8192):
         col = {c: (pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v) for c, v in col.items()}
         num = {c: col[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "low", "high", "left")}
         data, at = raw_bytes(col["bytes"])
-        row, begin, end = _covered(induce(num["group"], num["low"], num["high"], num["left"], data, at, length), length)
+        repeated = induce(num["group"], num["low"], num["high"], num["left"], data, at, length)
+        parts = [_covered(repeated[k : k + batch_rows], length) for k in range(0, len(repeated), batch_rows)]
+        row = np.concatenate([p[0] + k * batch_rows for k, p in enumerate(parts)])
+        begin, end = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
         return pa.RecordBatch.from_arrays([col["context"].take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["context", "begin", "end"])
 
     def run(batches):
@@ -243,7 +246,7 @@ def _sweep(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
+def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, most: int = 65536) -> DataFrame:
     """``key, runs``: for texts (named by a 64-bit hash) with repeated strings, the array of ``begin, end`` that cover them."""
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("bytes"))
     anchors = staged(texts.where(F.octet_length("bytes") >= length).transform(map_arrow, _find_anchors(length), "key long, place long, left int, right int, gram long, context long"), "anchors")
@@ -251,31 +254,41 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, mo
     contexts = staged(contexts, "contexts")
     _sweep(docs)
     open_ = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select(dealt_anew("gram").alias("g"))
-    wanted = contexts.join(open_, contexts["gram"] == open_["g"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted")).select(dealt_anew("key").alias("k"), "wanted")
+    whole = contexts.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("context", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
+    whole = staged(whole, "whole")
+    wanted = contexts.join(open_, contexts["gram"] == open_["g"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted")).select(F.col("key").alias("k"), "wanted")
+    wanted = staged(wanted, "wanted")
+    drop_table(contexts)
+    _sweep(docs)
     # Copies of a text hash alike; the first of them that a task meets will do, as contexts are made distinct below.
     cut = texts.join(wanted, texts["key"] == wanted["k"]).select("bytes", "wanted").transform(map_arrow, _cut_contexts, "context long, gram long, left int, right int, bytes binary")
     pieces = staged(cut.dropDuplicates(["context"]), "pieces")
+    drop_table(wanted)
     _sweep(docs)
     entries = pieces.select("*", F.col("gram").alias("group"), F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
     small, settled = [], []
     while True:
-        sizes = entries.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select(dealt_anew("group").alias("g"), "members")
-        counted = entries.join(sizes, entries["group"] == sizes["g"]).drop("g")
-        small.append(counted.where((F.col("members") <= most) & (F.col("low") < F.col("high"))).drop("members"))
-        settled.append(counted.where("low = high").select("context", (-F.col("low")).alias("begin"), (F.lit(length) - F.col("low")).alias("end")))
-        big = counted.where((F.col("members") > most) & (F.col("low") < F.col("high")))
+        sizes = staged(entries.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select(dealt_anew("group").alias("g"), "members"), "sizes")
+        big = sizes.where(F.col("members") > most)
+        of_group = F.col("group") == F.col("g")
+        inner, leaf = entries.where("low < high"), entries.where("low = high")
+        settled.append(leaf.join(sizes, of_group, "left_semi").select("context", (-F.col("low")).alias("begin"), (F.lit(length) - F.col("low")).alias("end")))
+        if big.isEmpty():
+            small.append(inner)
+            break
+        small.append(inner.join(big, of_group, "left_anti"))
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
         split = (
-            big.select("context", "gram", "left", "right", "bytes", F.explode(halves).alias("half"))
+            inner.join(big, of_group, "left_semi")
+            .select("context", "gram", "left", "right", "bytes", F.explode(halves).alias("half"))
             .select("context", "gram", "left", "right", "bytes", F.col("half.low").alias("low"), F.col("half.high").alias("high"))
             # Windows from high to low bytes before the anchor share what lies between; a context without such a window goes.
             .where((F.least("high", "left") >= F.greatest("low", F.lit(length) - F.col("right"))))
             .withColumn("group", F.xxhash64("low", "high", F.expr(f"substring(bytes, left - low + 1, low + {length} - high)")))
         )
         entries = staged(split, "halves")
-        if entries.isEmpty():
-            break
+        _sweep(docs)
     shards = small[0]
     for s in small[1:]:
         shards = shards.unionByName(s)
@@ -283,12 +296,15 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, mo
     induced = shards.transform(map_arrow, _induce_shard(length), "context long, begin int, end int")
     for s in settled:
         induced = induced.unionByName(s)
-    whole = contexts.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("context", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
     covered = staged(induced.unionByName(whole), "covered")
     drop_table(pieces)
     _sweep(docs)
     runs = anchors.select("key", "place", "context").join(covered, "context").groupBy("key").agg(F.collect_set(F.struct((F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))).alias("runs"))
-    return staged(runs, "runs")
+    runs = staged(runs, "runs")
+    for done in (anchors, covered, whole):
+        drop_table(done)
+    _sweep(docs)
+    return runs
 
 
 def _strip(names: list[str]):
@@ -317,7 +333,7 @@ def _strip(names: list[str]):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 65536) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row.
 
     ``kept`` is what is left, as bytes: a cut may fall into a character.
