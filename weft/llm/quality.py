@@ -173,12 +173,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         flat = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in flat] if table.num_rows else [pa.array([], pa.list_(pa.int32()))] * 2
         features, values = (c.flatten().to_numpy(zero_copy_only=False) for c in flat)
         at = np.concatenate([[0], np.cumsum(flat[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return Rows(features.astype(np.int64), values.astype(float), at)
+        return Rows(features, values, at)
 
     y = table.column("y").to_numpy()
     is_known = ~np.isnan(y)
     held = is_known & (table.column("h").to_numpy() % 5 == 0)
-    return co_train(rows("tf", "tv"), rows("mf", "mv"), np.nan_to_num(y), is_known, held, rounds, step_share)
+    text, meta, y = rows("tf", "tv"), rows("mf", "mv"), np.nan_to_num(y)
+    del table  # the rows are copies; training needs the memory
+    return co_train(text, meta, y, is_known, held, rounds, step_share)
 
 
 def _scored(docs: DataFrame, model: CoTrained, text_col: str, meta_cols, keep_from: float | None, out_cols: list[str]) -> DataFrame:
