@@ -268,6 +268,35 @@ def test_lm_scores(table):
     assert lm_scores(table([]), F.lit(True), vocab_size=16).count() == 0
 
 
+@pytest.mark.parametrize("bucket_tokens", [10, 1 << 19])
+def test_lm_scores_count_every_word(table, bucket_tokens):
+    """More distinct words than any fixed table: each has counts of its own."""
+    rng = random.Random(18)
+    names = [f"w{k}" for k in range(6000)]
+    rows = [(i, " ".join([*names[i * 100 : i * 100 + 100], prose(rng, 30), prose(rng, 15, names[:40])])) for i in range(60)] + [(60, None), (61, "w1"), (None, "amber w7"), (7, "amber amber amber"), (63, "amber birch " * 400)]
+    got = sorted((tuple(r) for r in lm_scores(table(rows), F.col("doc_id") % 2 == 1, bucket_tokens=bucket_tokens).collect()), key=repr)
+    texts = [(i, (t or "").split()) for i, t in rows]
+    size = len({w for _, t in texts for w in t}) + 1
+    assert size > 6000
+    models = []
+    for m in (0, 1):
+        mine = [t for i, t in texts if (i is not None and i % 2 == 1) == (m == 0)]
+        models.append((Counter(p for t in mine for p in zip([None, *t][:-1], t, strict=True)), Counter(w for t in mine for w in t), Counter(w for t in mine for w in [None, *t][:-1] if t)))
+
+    def loss(model, a, b):
+        pairs, words, contexts = model
+        return -math.log((pairs[a, b] + 8 * (words[b] + 1) / (sum(words.values()) + size)) / (contexts[a] + 8))
+
+    want = []
+    for i, t in texts:
+        ce = [sum(loss(m, a, b) for a, b in zip([None, *t][:-1], t, strict=True)) / max(1, len(t)) for m in models]
+        want.append((i, len(t), *ce, ce[1] - ce[0]))
+    want.sort(key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-4)
+
+
 # Classifiers
 
 
