@@ -81,6 +81,22 @@ def test_suffix_dedup_long_text(table, monkeypatch):
     assert suffix_dedup.suffix_dedup(table([])).count() == 0
 
 
+def test_suffix_dedup_at_cuts(table, monkeypatch):
+    """Each anchor of a text longer than a segment comes once, and nothing is removed for being near a cut."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (9000, 7050, 3000, 500)]
+    data = texts[0].encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([data], pa.binary())], ["key", "bytes"])
+    places = [p for b in suffix_dedup._find_anchors(200)([batch]) for p in b["place"].to_pylist()]
+    assert sorted(places) == sorted(suffix_dedup._anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 200)[1].tolist())
+    # Repeats that lie across cuts, in one text and in two.
+    rows = list(enumerate([*texts, texts[1][:4000] + texts[0][1850:2150] + texts[2][900:1200] + texts[1][4000:4100]]))
+    rows[3] = (3, texts[3] + texts[2][1990:2210])
+    got = suffix_dedup.suffix_dedup(table(rows)).drop("kept").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == removed_by_hand(rows, 200)
+
+
 # Near duplicates
 
 

@@ -112,9 +112,9 @@ def _find_anchors(length: int):
                 low, high = max(0, cut - length), min(len(data), cut + SEGMENT + 2 * length)
                 text, place, left, right, gram, context = _anchors(data[low:high], np.array([0, high - low]), length)
                 place = place + low
-                # Anchors whose context the segment cuts short are seen whole in the next or the last one.
-                whole = (place - left <= np.maximum(0, place - (length - GRAM))) & (place + right >= np.minimum(place + length, len(data)))
-                yield out(b.column("key"), (text[whole], place[whole], left[whole], right[whole], gram[whole], context[whole]))
+                # Neighbours see these anchors too; each is emitted by the segment that its place is in, which holds its whole context.
+                own = (place >= cut) & (place < cut + SEGMENT)
+                yield out(b.column("key"), (text[own], place[own], left[own], right[own], gram[own], context[own]))
 
     return run
 
