@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__
 from weft import errors as err
+from weft import fixtures
 from weft.functions.pattern import E, N, N_, ban, get, n
 from weft.model import SRC, UND, Kind, Morphism
 from weft.operators.graph import Graph
@@ -110,3 +111,19 @@ def test_backtracking_gives_the_joins_rows(spark):
 def test_entry_points():
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(known) and "mono_triangle" in sql
+
+
+def test_lineitem_graphs_are_whole(spark, tmp_path):
+    """Every line item is in each of the three graphs made from them."""
+    lines = [(o, s, p, q, d, f) for k, (o, s, q, d, f) in enumerate([(1, 1, 50.0, 0.1, "R"), (1, 2, 3.0, 0.0, "N"), (2, 2, 44.0, 0.08, "R"), (2, 2, 45.0, 0.09, "A"), (3, 1, 1.0, 0.05, "A")]) for p in [k % 3]]
+    frames = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_returnflag string"),
+        "orders": spark.createDataFrame([(1, 7, "1-URGENT"), (2, 7, "2-HIGH"), (3, 8, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+    }
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {name: sorted(map(tuple, fixtures._frame(spark, str(tmp_path), f"{name}_edges").select("n1", "n2", "val").collect())) for name in ("gos", "gcs", "gps")}
+    s, p = 1000000000, 2000000000
+    assert got["gos"] == [(1, s + 1, 50.0), (1, s + 2, 3.0), (2, s + 2, 89.0), (3, s + 1, 1.0)]
+    assert got["gcs"] == [(7, s + 1, 1), (7, s + 2, 3), (8, s + 1, 1)]
+    assert got["gps"] == [(s + 1, p, 1), (s + 1, p + 1, 1), (s + 2, p, 1), (s + 2, p + 1, 1), (s + 2, p + 2, 1)]

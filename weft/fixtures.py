@@ -27,15 +27,15 @@ GROUP BY f, t""",
     "gos_nodes": """SELECT o_orderkey AS id, 'order' AS kind, o_orderpriority AS label FROM {orders}
 UNION ALL SELECT 1000000000 + s_suppkey, 'supplier', CAST(s_nationkey AS VARCHAR(10)) FROM {supplier}""",
     "gos_edges": """SELECT l_orderkey AS n1, 1000000000 + l_suppkey AS n2, 'SRC' AS slot, sum(l_quantity) AS val
-FROM {lineitem} WHERE l_quantity >= 45 GROUP BY l_orderkey, l_suppkey""",
+FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
     "gcs_nodes": """SELECT c_custkey AS id, 'customer' AS kind, c_mktsegment AS label FROM {customer}
 UNION ALL SELECT 1000000000 + s_suppkey, 'supplier', CAST(s_nationkey AS VARCHAR(10)) FROM {supplier}""",
     "gcs_edges": """SELECT o_custkey AS n1, 1000000000 + l_suppkey AS n2, 'UND' AS slot, count(*) AS val
-FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY o_custkey, l_suppkey""",
+FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey""",
     "gps_nodes": """SELECT 1000000000 + s_suppkey AS id, 'supplier' AS kind, CAST(s_nationkey AS VARCHAR(10)) AS label FROM {supplier}
 UNION ALL SELECT 2000000000 + p_partkey, 'part', p_brand FROM {part}""",
     "gps_edges": """SELECT 1000000000 + l_suppkey AS n1, 2000000000 + l_partkey AS n2, 'UND' AS slot, count(*) AS val
-FROM {lineitem} WHERE l_discount >= 0.09 GROUP BY l_suppkey, l_partkey""",
+FROM {lineitem} GROUP BY l_suppkey, l_partkey""",
     "guu_nodes": "SELECT DISTINCT user_id AS id FROM {events}",
     "guu_edges": """SELECT a.user_id AS n1, b.user_id AS n2, 'UND' AS slot, count(*) AS val
 FROM {events} a JOIN {events} b ON a.event_type = b.event_type AND a.user_id < b.user_id AND date_trunc('minute', a.ts) = date_trunc('minute', b.ts)
