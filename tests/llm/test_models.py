@@ -360,6 +360,27 @@ def test_toxicity(spark, table):
     assert toxicity_scores(table([]), model).count() == 0
 
 
+def test_toxicity_small_and_rare(spark, table):
+    """Few examples, and fewer in a rare language: no word is certain to depend on the label, and every text has neighbours."""
+    rng = random.Random(21)
+    other = ["anker", "birke", "zeder", "delta2", "glut", "furt", "hain", "heide"]
+    rows, labels = [], []
+    for i in range(40):
+        toxic, rare = i % 4 == 0, i % 10 in (4, 8, 9)
+        words = prose(rng, 20, other if rare else WORDS).split() + [f"x{i}"]
+        words += ["gift", "hass"] if toxic and rare else ["venom", "spite"] if toxic else []
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(100, prose(rng, 20, other) + " gift hass"), (101, prose(rng, 20, other)), (102, prose(rng, 20, WORDS))]
+    model = train_toxicity(table(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), k=4)
+    got = {r["doc_id"]: r for r in toxicity_scores(table(rows), model).collect()}
+    assert all(r["evidence"] for r in got.values())
+    assert got[100]["score"] > got[101]["score"]
+    vectors = [model.index.vector(*np.unique(hashed_words(pa.array([t]))[0], return_counts=True)) for _, t in rows]
+    for (near, cosine), v in zip(model.index.nearest_many(vectors, 4), vectors, strict=True):
+        assert near.tolist() == model.index.nearest(*v, 4)[0].tolist() and np.allclose(cosine, model.index.nearest(*v, 4)[1])
+
+
 def test_quality(spark, table):
     rng = random.Random(13)
     rows, labels = [], []

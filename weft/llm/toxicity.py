@@ -8,9 +8,13 @@ follows from these, so blocks that can't hold one of the ``k`` nearest are never
 opened, and the ``k`` found are exact. Their votes, weighted by cosine, are
 calibrated on the examples themselves (each without its own vote).
 
-The vectors span the words whose presence depends on the label among the
-examples: their likelihood ratio exceeds twice the log of the number of words, so
-that hardly a word passes by chance. idf comes from all documents.
+The vectors span all words of the examples. A word weighs more the more its
+presence depends on the label among them (likelihood ratio, against twice the log
+of the number of words, which hardly a word exceeds by chance), but none weighs
+nothing. idf comes from all documents.
+
+Whole batches take another way to the same cosines: words in many examples are a
+dense matrix, and only the others' postings are gathered.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from .linear import platt, sigmoid
 from .words import hashed_words, pieces_of, plain_text, sorted_unique
 
 BLOCK = 64
+#: Words in more than this part of the examples are common.
+COMMON = 16
+#: Vectors whose postings are gathered at once; memory follows it.
+BATCH = 32
 
 
 def _gather(low: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -45,15 +53,38 @@ class BlockMaxIndex:
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         example = np.repeat(np.arange(len(rows)), [len(v[0]) for v in vectors]) if vectors else term
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        key = term[order] * self.n_blocks + self.example // BLOCK
+        self._postings(np.bincount(term, minlength=len(vocab)), example[order], weight[order])
+
+    def _postings(self, n: np.ndarray, example: np.ndarray, weight: np.ndarray) -> None:
+        """``n`` postings of each word, by word and example."""
+        self.n, self.example, self.weight, self.entry_low = n, example, weight, None
+        self.post_at = np.append(0, np.cumsum(n))
+        common = np.flatnonzero(n > max(BLOCK, self.size // COMMON))
+        self.dense_place = np.full(len(n), -1, np.int32)
+        self.dense_place[common] = np.arange(len(common))
+        post = _gather(self.post_at[common], n[common])
+        self.dense = np.zeros((len(common), self.size))
+        self.dense[np.repeat(np.arange(len(common)), n[common]), example[post]] = weight[post]
+
+    def _cut_blocks(self) -> None:
+        """Entries of words and blocks with their largest weights."""
+        term = np.repeat(np.arange(len(self.n)), self.n)
+        key = term * self.n_blocks + self.example // BLOCK
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
         self.entry_block = (key[start] % self.n_blocks) if len(key) else key
         self.entry_low, self.entry_n = start, np.diff(np.append(start, len(key)))
         self.entry_max = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.term_at = np.searchsorted(key[start] // self.n_blocks, np.arange(len(vocab) + 1)) if len(key) else np.zeros(len(vocab) + 1, np.int64)
+        self.term_at = np.searchsorted(key[start] // self.n_blocks, np.arange(len(self.n) + 1)) if len(key) else np.zeros(len(self.n) + 1, np.int64)
+
+    def __getstate__(self) -> tuple:
+        # Each executor keeps what is sent on disk: only the postings travel.
+        return self.vocab, self.idf, self.size, self.n_blocks, self.n.astype(np.int32), self.example.astype(np.int32), self.weight
+
+    def __setstate__(self, state: tuple) -> None:
+        self.vocab, self.idf, self.size, self.n_blocks, n, example, weight = state
+        self._postings(n.astype(np.int64), example.astype(np.int64), weight)
 
     def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the vocabulary, weights), of length 1 unless empty."""
@@ -65,8 +96,35 @@ class BlockMaxIndex:
         w = (1 + np.log(counts[known])) * self.idf[at]
         return at, w / max(1e-12, np.sqrt((w * w).sum()))
 
+    def nearest_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each of many vectors."""
+        out = []
+        for low in range(0, len(vectors), BATCH):
+            some = vectors[low : low + BATCH]
+            if not self.size:
+                out += [(np.zeros(0, np.int64), np.zeros(0))] * len(some)
+                continue
+            terms, weights = (np.concatenate([v[c] for v in some]) for c in (0, 1))
+            row = np.repeat(np.arange(len(some)), [len(v[0]) for v in some])
+            dense = self.dense_place[terms]
+            queries = np.zeros((len(some), len(self.dense)))
+            queries[row[dense >= 0], dense[dense >= 0]] = weights[dense >= 0]
+            terms, weights, row = terms[dense < 0], weights[dense < 0], row[dense < 0]
+            n = self.post_at[terms + 1] - self.post_at[terms]
+            post = _gather(self.post_at[terms], n)
+            cosines = queries @ self.dense
+            cosines += np.bincount(np.repeat(row, n) * self.size + self.example[post], np.repeat(weights, n) * self.weight[post], len(some) * self.size).reshape(len(some), self.size)
+            for cosine in cosines:
+                floor = np.partition(cosine, self.size - k)[self.size - k] if self.size > k else 0.0
+                found = np.flatnonzero((cosine > 0) & (cosine >= floor))
+                order = found[np.lexsort((found, -cosine[found]))][:k]
+                out.append((order, cosine[order]))
+        return out
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine (ties: first example), and their cosines. Exact."""
+        if self.entry_low is None:
+            self._cut_blocks()
         n = self.term_at[terms + 1] - self.term_at[terms]
         entry = _gather(self.term_at[terms], n)
         q = np.repeat(weights, n)
@@ -105,9 +163,10 @@ class Model:
         vote = min(max(vote, 1e-4), 1 - 1e-4)
         return float(np.log(vote / (1 - vote)))
 
-    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cosine = self.index.nearest(*self.index.vector(hashes, counts), self.k)
-        return float(sigmoid(np.array(self.slope * self.margin(near, cosine) + self.shift))), near, cosine
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, their cosines) of each text's (word hashes, counts)."""
+        found = self.index.nearest_many([self.index.vector(h, c) for h, c in texts], self.k)
+        return [(float(sigmoid(np.array(self.slope * self.margin(near, cosine) + self.shift))), near, cosine) for near, cosine in found]
 
 
 def _g2(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -144,7 +203,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     vocab, inverse = np.unique(flat, return_inverse=True)
     a = np.bincount(inverse, np.repeat(y, [len(r[2]) for r in rows]), len(vocab)) if rows else np.zeros(0)
     b = np.bincount(inverse, minlength=len(vocab)) - a if rows else np.zeros(0)
-    vocab = vocab[_g2(a, b, int(y.sum()), int(len(y) - y.sum())) > 2 * np.log(len(vocab))] if 0 < y.sum() < len(y) else vocab[:0]
+    # Without both labels there is nothing to vote on.
+    ratio = _g2(a, b, int(y.sum()), int(len(y) - y.sum())) if 0 < y.sum() < len(y) else np.zeros(0)
+    vocab = vocab if len(ratio) else vocab[:0]
+    del flat, inverse
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def count(batches):
@@ -157,17 +219,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 ok = shared.value[place] == words
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[ok]
                 seen += np.bincount(np.unique(doc * len(shared.value) + place[ok]) % len(shared.value), minlength=len(shared.value))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(seen)), -1)), pa.array(np.append(seen, total))], ["term", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], total))], ["term", "n"])
 
-    frequency = {r[0]: r[1] for r in keyed.select("_text").transform(map_arrow, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = frequency.get(-1, 0)
-    idf = np.array([np.log((total + 1) / (frequency.get(t, 0) + 1)) + 1 for t in range(len(vocab))])
+    counted = keyed.select("_text").transform(map_arrow, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(vocab) + 1)
+    frequency[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # the last is the number of texts
+    idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
+    idf *= (1 + ratio) / (1 + ratio + 2 * np.log(max(2, len(vocab))))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     model = Model(BlockMaxIndex(vocab, idf, [(r[2], r[3]) for r in rows]), [r[1] for r in rows], y, float(y.mean()) if rows else 0.0, k)
     if 0 < y.sum() < len(y):
         margins = []
-        for e, (_, _, h, c) in enumerate(rows):
-            near, cosine = model.index.nearest(*model.index.vector(h, c), k + 1)
+        for e, (near, cosine) in enumerate(n for low in range(0, len(rows), BATCH) for n in model.index.nearest_many([model.index.vector(r[2], r[3]) for r in rows[low : low + BATCH]], k + 1)):
             other = near != e
             margins.append(model.margin(near[other][:k], cosine[other][:k]))
         # The examples hold more toxic ones than the labels do; weights restore the labels' share.
@@ -199,7 +263,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 at = np.concatenate([[0], np.cumsum(ok)])[at]
                 words = words[ok]
             values, where, n = sorted_unique(words, at)
-            got = [m.score(values[i:j], n[i:j]) for i, j in zip(where[:-1], where[1:], strict=True)]
+            got = m.scores([(values[i:j], n[i:j]) for i, j in zip(where[:-1], where[1:], strict=True)])
             p = np.array([g[0] for g in got])
             ids = [m.ids[e] for g in got for e in g[1][:5]]
             ends = np.concatenate([[0], np.cumsum([min(5, len(g[1])) for g in got])])
