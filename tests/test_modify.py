@@ -9,7 +9,7 @@ from weft import errors as err
 from weft.functions.pattern import E, N, N_, T, X, e, get, n, t, x
 from weft.model import SRC, TGT, Kind, Morphism
 from weft.operators.graph import Graph
-from weft.operators.modify import free_ids, modify, resolve_with_bindings, rewrite
+from weft.operators.modify import disjoint, free_ids, modify, resolve_with_bindings, rewrite
 from weft.operators.session import search
 from weft.sources.literal import graph
 from weft.streaming.changes import Control, MutationStream, Watcher, notify, watch_matches
@@ -136,3 +136,33 @@ def test_stream(spark, tmp_path):
     stream.apply(spark.createDataFrame(batches[1], schema), 1)  # a batch that is run again changes nothing
     assert lists(stream.snapshot()) == ([1, 2, 3], [(1, 3, SRC), (2, 3, TGT)])
     assert stream.snapshot(0).edges.where(F.col("n1") == 0).count() == 1
+
+
+def test_disjoint_runs_until_no_match_is_left(spark):
+    """A long path whose hashes fall in one direction takes many rounds; rows that repeat are one match."""
+    rows = [(k, k + 1) for k in range(60)]
+    found = spark.createDataFrame(rows + rows[:5], "n0 long, n1 long")
+    chosen = [tuple(r) for r in disjoint(found, ["n0", "n1"]).collect()]
+    ends = [x for r in chosen for x in r]
+    assert len(ends) == len(set(ends))
+    assert all(set(r) & set(ends) for r in rows)
+
+
+def test_stream_calls_back_again_after_a_failure_and_resumes(spark, tmp_path):
+    g = Graph.from_pairs(spark, U, [(0, 1), (1, 2)])
+    path, told = f"file:{tmp_path}/stream", []
+    rows = spark.sql("SELECT 'add_edge' AS op, CAST(NULL AS BIGINT) AS id, 0L AS n1, 2L AS n2, 'UND' AS slot")
+
+    def fails_once(k, graph, done):
+        told.append((k, done.added_edges.count()))
+        if len(told) == 1:
+            raise RuntimeError("lost")
+
+    stream = MutationStream(g, path)
+    with pytest.raises(RuntimeError):
+        stream.apply(rows, 0, fails_once)
+    again = MutationStream(g, path)
+    assert again.latest == 1
+    again.apply(rows, 0, fails_once)
+    again.apply(rows, 0, fails_once)
+    assert told == [(0, 1), (0, 1)] and again.snapshot().edge_count() == 3

@@ -14,11 +14,11 @@ from weft.functions.pattern import E, N, N_, ban, get, n
 from weft.model import SRC, UND, Kind, Morphism
 from weft.operators.graph import Graph
 from weft.operators.session import Search, search
-from weft.plans.backtrack import backtrack
 from weft.sources import dot
 from weft.sources.literal import graph
 from weft.sources.parser import parse
-from weft.sources.persist import load, read_header, save
+from weft.sources.persist import PersistFailure, load, read_header, save
+from weft.sources.store import shared_folder
 
 U, D, A = Kind.UNDIR, Kind.DIR, Kind.ANYDIR
 
@@ -98,16 +98,6 @@ def test_text_and_dot(spark, monkeypatch, capsys):
     assert dot.main() == 1
 
 
-def test_backtracking_gives_the_joins_rows(spark):
-    g = graph(spark, A, N(0) ^ N(1), n(0) >> n(1), n(1) >> N(2), n(2) ^ n(0), N(3) >> n(0), n(2) >> n(3))
-    for m in (Morphism.MONO, Morphism.HOMO, Morphism.SUBISO, Morphism.ISO):
-        for frags in ([N(0) >> (N(1) % N(2))], [N(0) ^ N(1), n(1) & (~E() >> N(2)), n(0) % n(2)], [N(0) % (N(1) % (N(2) % N(3)))]):
-            q = Search(g, [get(m, *frags)]).query
-            assert sorted(backtrack(g, q).collect()) == sorted(search(g, get(m, *frags)).matches().collect())
-    q = Search(g, [get(Morphism.MONO, N(0) >> N(1)), ban(Morphism.MONO, n(1) >> N(2))]).query
-    assert backtrack(g, q).count() == search(g, get(Morphism.MONO, N(0) >> N(1)), ban(Morphism.MONO, n(1) >> N(2))).count()
-
-
 def test_entry_points():
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(known) and "mono_triangle" in sql
@@ -122,8 +112,40 @@ def test_lineitem_graphs_are_whole(spark, tmp_path):
     }
     for name, df in frames.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {name: sorted(map(tuple, fixtures._frame(spark, str(tmp_path), f"{name}_edges").select("n1", "n2", "val").collect())) for name in ("gos", "gcs", "gps")}
+    got = {name: sorted(map(tuple, fixtures._frame(spark, str(tmp_path), f"{name}_edges").select("n1", "n2", "val").collect())) for name in ("gos", "gop", "gps")}
     s, p = 1000000000, 2000000000
     assert got["gos"] == [(1, s + 1, 50.0), (1, s + 2, 3.0), (2, s + 2, 89.0), (3, s + 1, 1.0)]
-    assert got["gcs"] == [(7, s + 1, 1), (7, s + 2, 3), (8, s + 1, 1)]
+    assert got["gop"] == [(1, 2 * s, 50.0), (1, 2 * s + 1, 3.0), (2, 2 * s, 45.0), (2, 2 * s + 2, 44.0), (3, 2 * s + 1, 1.0)]
     assert got["gps"] == [(s + 1, p, 1), (s + 1, p + 1, 1), (s + 2, p, 1), (s + 2, p + 1, 1), (s + 2, p + 2, 1)]
+
+
+def test_snapshots_of_a_run_that_died(spark, tmp_path):
+    """What has no manifest is written over; what has one is not."""
+    g = Graph.from_pairs(spark, Kind.UNDIR, [(0, 1), (1, 2)])
+    path = f"file:{tmp_path}/snap"
+    g.nodes.write.parquet(f"{path}/nodes")
+    save(g, path)
+    assert load(spark, path).edge_count() == 2
+    with pytest.raises(PersistFailure):
+        save(g, path)
+
+
+def test_shared_folder_on_a_cluster():
+    class Context:
+        applicationId = "a"
+
+        def __init__(self, master, folder=None):
+            self.master, self.folder = master, folder
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.folder}
+
+    class Session:
+        def __init__(self, *args):
+            self.sparkContext = Context(*args)
+
+    assert shared_folder(Session("local[8]")).startswith("file:")
+    assert shared_folder(Session("spark://m:7077", "hdfs://n/c/")) == "hdfs://n/c"
+    for master in ("spark://m:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(Session(master))

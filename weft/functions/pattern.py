@@ -12,6 +12,7 @@ value or a test, before the operator::
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from copy import copy
 from dataclasses import dataclass, field
@@ -20,15 +21,23 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import ANY, FLIP, SRC, TGT, UND, Morphism
+from ..model import ANY, SRC, TGT, UND, Morphism
 
 Test = Callable[[Column], Column] | str
 
 
+#: Quoted text and names of SQL, which stay as they are, or ``val`` as a name of its own.
+_SQL_VAL = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|(?<![\w.])val(?!\w)""", re.S)
+
+
 def test_column(test: Test, value: Column, name: str) -> Column:
-    """A test as a boolean column; null is false. A string is SQL over ``val``."""
+    """A test as a boolean column; null is false.
+
+    A string is SQL over ``val``. A callable takes the value's column and gives a
+    column: built-in functions, or a pandas UDF for what they can't express.
+    """
     if isinstance(test, str):
-        return F.coalesce(F.expr(test.replace("val", name)), F.lit(False))
+        return F.coalesce(F.expr(_SQL_VAL.sub(lambda m: f"`{name}`" if m[0] == "val" else m[0], test)), F.lit(False))
     return F.coalesce(test(value), F.lit(False))
 
 
@@ -239,7 +248,3 @@ def _walk(near: Node):
     for link in near.links:
         yield near, link, link.node
         yield from _walk(link.node)
-
-
-def seen_from(slot: str, flipped: bool) -> str:
-    return FLIP[slot] if flipped else slot

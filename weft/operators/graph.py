@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import errors as err
 from ..model import SRC, TGT, UND, Kind
+from ..sources.store import materialized
 
 PAIR_FLAG = {UND: "has_und", SRC: "has_src", TGT: "has_tgt"}
 PAIR_VALUE = {UND: "v_und", SRC: "v_src", TGT: "v_tgt"}
@@ -34,6 +35,7 @@ class Graph:
         self.nodes = _packed(nodes.withColumn("id", F.col("id").cast("long")), ["id"])
         self.edges = _packed(edges.withColumns({c: F.col(c).cast("long") for c in ("n1", "n2")}).drop("eid"), ["n1", "n2", "slot"])
         self._tier = None
+        self.tier = "raw"
 
     # Construction
 
@@ -156,8 +158,16 @@ class Graph:
             raise ValueError(tier)
         out = Graph(self.kind, self.nodes, self.edges)
         out._tier = None if tier == "raw" else "pair"
+        out.tier = tier
         if tier == "values":
-            out.nodes = out.nodes.persist()
+            # Grouped by value, so that a cached batch holds few values and an equality test skips most batches.
+            out.nodes = out.nodes.repartitionByRange("val").sortWithinPartitions("val").persist() if out.node_value else out.nodes.persist()
+        return out
+
+    def stored(self) -> Graph:
+        """The same graph with nodes, edges and the pair view written once, pairs dealt by their first node: for graphs that are computed and then searched."""
+        out = Graph(self.kind, materialized(self.nodes), materialized(self.edges))
+        out.pair = materialized(out.pair if self.kind is not Kind.UNDIR else out.pair.repartition("src"))
         return out
 
     # Lookups
@@ -184,6 +194,22 @@ class Graph:
     def set_edge_value(self, a: int, b: int, slot: str, value: Column) -> Graph:
         return Graph(self.kind, self.nodes, self.edges.withColumn("val", F.when(self._key(a, b, slot), value).otherwise(F.col("val"))))
 
+    def set_rel(self, a: int, b: int, slots: dict[str, object]) -> Graph:
+        """The graph with other edges between a and b: ``slots``, seen from a, maps each slot to a value (ignored where edges have none) or to None, which removes it; slots not named stay."""
+        out = self.edges
+        for slot, value in slots.items():
+            self.kind.check(slot)
+            if slot not in self.kind.slots:
+                raise TypeError("a slot of the kind is needed")
+            out = out.where(~self._key(a, b, slot))
+            if value is not None:
+                seen = {SRC: TGT, TGT: SRC}.get(slot, slot) if a > b else SRC if a == b and slot == TGT else slot
+                row = self.spark.range(1).select(F.lit(min(a, b)).cast("long").alias("n1"), F.lit(max(a, b)).cast("long").alias("n2"), F.lit(seen).alias("slot"))
+                if self.edge_value:
+                    row = row.withColumn("val", (value if isinstance(value, Column) else F.lit(value)).cast(self.edges.schema["val"].dataType))
+                out = out.unionByName(row)
+        return Graph(self.kind, self.nodes, out)
+
     def has(self, id: int) -> bool:
         return not self.get(id).isEmpty()
 

@@ -108,8 +108,8 @@ def check_fragment(ops: Sequence[Node]) -> None:
 def free_ids(graph: Graph, k: int) -> DataFrame:
     """``rank`` (from 0), ``id``: the k smallest ids that no node has. They are all below node count + k."""
     ids = graph.spark.range(graph.node_count() + k)
-    free = ids.join(graph.nodes.select("id"), "id", "left_anti").orderBy("id").limit(k)
-    return ranked(free, ["id"])
+    # Gaps are ranked where they lie, so no task holds all k of them.
+    return ranked(ids.join(graph.nodes.select("id"), "id", "left_anti"), ["id"]).where(F.col("rank") < k)
 
 
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
@@ -295,25 +295,25 @@ def resolve_with_bindings(ops: Sequence[Node], bindings: dict[int, int]) -> list
     return [put(x) for x in ops]
 
 
-def disjoint(found: DataFrame, columns: Sequence[str], rounds: int = 64) -> DataFrame:
+def disjoint(found: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Matches that share no node, chosen so that every other match touches one of them.
 
-    Each round keeps the matches that come first, by a hash, at all of their nodes
-    and drops those that touch them; all steps are joins.
+    Each round keeps the matches that come first, by a hash and then by their ids,
+    at all of their nodes and drops those that touch them; all steps are joins. The
+    first of all that are left is always kept, so rounds end when none is left.
     """
-    spare = materialized(found.withColumn("_h", F.xxhash64(*columns)))
+    spare = materialized(found.distinct().withColumn("_h", F.xxhash64(*columns)))
     kept = spare.limit(0)
-    for _ in range(rounds):
+    rank = F.struct("_h", *columns)
+    while not spare.isEmpty():
         ends = spare.select("_h", *columns, F.explode(F.array_distinct(F.array(*columns))).alias("_n"))
-        first = ends.groupBy("_n").agg(F.min("_h").alias("_least"))
-        lead = ends.join(first, "_n").groupBy("_h", *columns).agg(F.min(F.col("_h") == F.col("_least")).alias("ok")).where("ok")
+        first = ends.groupBy("_n").agg(F.min(rank).alias("_least"))
+        lead = ends.join(first, "_n").groupBy("_h", *columns).agg(F.min(rank == F.col("_least")).alias("ok")).where("ok")
         chosen = materialized(spare.join(lead.select("_h", *columns), ["_h", *columns], "left_semi"))
         kept = kept.unionByName(chosen)
         taken = chosen.select(F.explode(F.array(*columns)).alias("_t")).distinct()
         touched = ends.join(taken, ends["_n"] == taken["_t"], "left_semi").select("_h", *columns).distinct()
         spare = materialized(spare.join(touched, ["_h", *columns], "left_anti"))
-        if spare.isEmpty():
-            break
     return kept.drop("_h")
 
 

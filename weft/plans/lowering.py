@@ -1,9 +1,10 @@
 """From a compiled query to joins.
 
-Every match is a row ``n<id>, ...``. Nodes are bound in the query's order: a join
-with the pair view along one edge, semi-joins for further edges, anti-joins for
-negated edges and for pairs that must not be adjacent, then one anti-join for
-each ban. Only ids are carried. Which joins are broadcast or sorted, and how
+Every match is a row ``n<id>, ...``. Nodes are bound one by one: a join with the
+pair view along one edge, semi-joins for further edges, anti-joins for negated
+edges and for pairs that must not be adjacent, then one anti-join for each ban.
+Where morphisms are mixed, the node that comes later in the query's order rules a
+pair, in whatever order they are joined. Only ids are carried. Which joins are broadcast or sorted, and how
 skew is split, is left to the planner.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.pattern import MISSING, test_column
 from ..model import ANY, Morphism
 from ..operators.graph import PAIR_FLAG, PAIR_VALUE, Graph
+from ..sources.store import materialized
 from .compiler import Ban, CompiledQuery, PatternEdge, PatternNode
 
 
@@ -49,10 +51,26 @@ def edge_test(graph: Graph, x: PatternEdge, start: int, without: frozenset[str]
 
 
 class Lowering:
-    def __init__(self, graph: Graph, query: CompiledQuery):
+    """Grows a frame of partial matches. ``start`` has a column n<id> for context nodes that a table binds."""
+
+    def __init__(self, graph: Graph, query: CompiledQuery, start: DataFrame | None = None):
         self.graph, self.query = graph, query
-        self.out = graph.spark.range(1).select()
         self.bound: list[int] = []
+        self.given = [p for p in query.order if start is not None and name(p) in start.columns]
+        self._frame = start
+        self._first: int | None = None
+        self._bans = 0
+
+    @property
+    def out(self) -> DataFrame:
+        """The matches so far. A first node without a condition of its own is read from the edges that leave it, so this asks for its candidates only where it is read alone."""
+        if self._frame is None:
+            self._frame = self.graph.spark.range(1).select() if self._first is None else self.candidates(self._first)
+        return self._frame
+
+    @out.setter
+    def out(self, frame: DataFrame) -> None:
+        self._frame = frame
 
     # Building blocks
 
@@ -86,30 +104,67 @@ class Lowering:
     # Get clusters
 
     def run(self) -> DataFrame:
-        for p in self.query.order:
+        for p in self.plan():
             self.bind(p)
         self.global_rules()
         for b in self.query.bans:
             self.ban(b)
         return self.out.select(*[name(p) for p in sorted(self.query.order)])
 
+    def plan(self) -> list[int]:
+        """Which node to join next: given and pinned ones, then by links into what is bound and by conditions. Matches don't depend on it."""
+        rest = list(self.query.order)
+        links = {p: {q for q in rest if q != p and self.between(p, q, False)} for p in rest}
+        done = [p for p in rest if p in self.given]
+        rest = [p for p in rest if p not in done]
+
+        def worth(p: int) -> tuple:
+            node = self.query.nodes[p]
+            return (len(links[p] & set(done)) > 0, node.pinned is not None, len(links[p] & set(done)), node.has_predicate, -self.query.order.index(p))
+
+        while rest:
+            done.append(max(rest, key=worth))
+            rest.remove(done[-1])
+        return done
+
+    def _degree(self, p: int) -> Column | None:
+        """What the degree of the node's image must be. It follows from edges and injectivity unless some nodes may share an image; Iso's equality never does."""
+        node, need = self.query.nodes[p], self.query.degree(p)
+        if node.pinned is not None and p != self.query.order[0]:
+            return None
+        if node.morphism is Morphism.ISO:
+            return F.col("deg") == need
+        shared = any(not self.query.nodes[q].morphism.injective for q in self.query.order)
+        return F.col("deg") >= need if shared and node.morphism.injective and need else None
+
     def bind(self, p: int) -> None:
-        node = self.query.nodes[p]
-        linked = [q for q in self.bound if self.between(p, q, False)]
         col = name(p)
+        linked = [q for q in self.bound if self.between(p, q, False)]
+        fit = self._degree(p)
+        loops = [(x, False) for x in self.between(p, p, False)] + [(x, True) for x in self.between(p, p, True)]
+        apart = reduce(and_, [F.col(col) != F.col(name(q)) for q in self.bound if self.query.later(p, q).morphism.injective], F.lit(True))
 
         def together(q: int) -> Column:
             edges = self.between(p, q, False)
             test = reduce(and_, [edge_test(self.graph, x, q) for x in edges])
-            return test & (F.col("n_slots") == len(edges)) if node.morphism.induced else test
+            return test & (F.col("n_slots") == len(edges)) if self.query.later(p, q).morphism.induced else test
 
-        apart = reduce(and_, [F.col(col) != F.col(name(q)) for q in self.bound], F.lit(True)) if node.morphism.injective else F.lit(True)
-        if not self.bound:
+        if p in self.given:
+            # A table's ids are checked like candidates: they must be nodes.
+            self.out = self.out.join(self.candidates(p), col, "left_semi").where(apart)
+            for q in linked:
+                self.out = self.out.join(self.pairs(q, p, together(q)), self.on(name(q), col), "left_semi")
+        elif not self.bound and not self.given and not (self._restricted(p) or loops or fit is not None):
+            self._first = p
+        elif not self.bound and not self.given:
             self.out = self.candidates(p)
         elif linked:
             first, *others = linked
             step = self.pairs(first, p, together(first)).withColumnRenamed("_d", col)
-            self.out = self.out.join(step, F.col(name(first)) == F.col("_s")).where(apart).drop("_s")
+            if self._frame is None:
+                self.out = step.withColumnRenamed("_s", name(first)).where(apart)
+            else:
+                self.out = self.out.join(step, F.col(name(first)) == F.col("_s")).where(apart).drop("_s")
             for q in others:
                 self.out = self.out.join(self.pairs(q, p, together(q)), self.on(name(q), col), "left_semi")
             if self._restricted(p):
@@ -117,19 +172,14 @@ class Lowering:
         else:
             # No edge leads into what is bound: a product, as the pattern asks for it.
             self.out = self.out.crossJoin(self.candidates(p)).where(apart)
-        loops = [(x, False) for x in self.between(p, p, False)] + [(x, True) for x in self.between(p, p, True)]
         for x, negated in loops:
             self.out = self.out.join(self.pairs(p, p, edge_test(self.graph, x, p)), self.on(col, col), "left_anti" if negated else "left_semi")
         for q in self.bound:
             for x in self.between(p, q, True):
                 self.out = self.out.join(self.pairs(q, p, edge_test(self.graph, x, q)), self.on(name(q), col), "left_anti")
-            if node.morphism.induced and q not in linked:
+            if self.query.later(p, q).morphism.induced and q not in linked:
                 self.out = self.out.join(self.pairs(q, p, F.lit(True)), self.on(name(q), col), "left_anti")
-        need = self.query.degree(p)
-        exact = node.morphism is Morphism.ISO
-        # Degrees follow from edges and injectivity unless morphisms are mixed; Iso's equality never does.
-        if (exact or (self.query.mixed and node.morphism.injective and need)) and not (node.pinned is not None and self.bound):
-            fit = F.col("deg") == need if exact else F.col("deg") >= need
+        if fit is not None:
             self.out = self.out.join(self.graph.degrees.where(fit).select(F.col("id").alias(col)), col, "left_semi")
         self.bound.append(p)
 
@@ -155,61 +205,67 @@ class Lowering:
 
     def ban(self, b: Ban) -> None:
         """Drop the matches on which the ban fires."""
-        extra = set(b.extra)
+        extra, known = set(b.extra), list(self.bound)
+        touching = [x for x in b.edges if (x.a in extra or x.b in extra) and all(p in extra or p in known for p in (x.a, x.b))]
+        marked, tests = self.shared(b)
+        if not extra:
+            # Each match has the flags of its own pairs, so nothing has to be joined back.
+            self.out = marked.where(~reduce(and_, tests, F.lit(True))).select(*[name(p) for p in known])
+            return
+        if self._simple(b, list(b.extra), touching, tests):
+            return
+        if self._bans:
+            # The frame is read twice below; written out, a chain of bans stays linear.
+            self.out = materialized(self.out)
+            marked, tests = self.shared(b)
+        self._bans += 1
+        hits = marked.where(reduce(and_, tests, F.lit(True))).select(*[name(p) for p in known])
+        left = list(b.extra)
+        while left:
+            p = next((p for p in left if any(not x.negated and x.a != x.b and x.other(p) in known for x in touching if p in (x.a, x.b))), left[0])
+            hits = self._extend(hits, b, p, known, touching, last=len(left) == 1)
+            left.remove(p)
+            known.append(p)
+        self._drop(hits)
+
+    def shared(self, b: Ban) -> tuple[DataFrame, list[Column]]:
+        """(matches with the flags of the ban's pairs of bound nodes, tests that all hold where that part of the ban does)."""
         mapped = set(self.bound)
-        hits = self.out
         inside = [x for x in b.edges if x.a in mapped and x.b in mapped]
-        tests: list[Column] = []
-        shared = [p for p in dict.fromkeys(b.nodes) if p in mapped]
-        pairs = {tuple(sorted((x.a, x.b))) for x in inside}
-        if b.morphism.induced and not b.implicit:
-            pairs |= {(p, q) for k, p in enumerate(sorted(shared)) for q in sorted(shared)[k + 1 :]}
+        here = sorted(p for p in set(b.nodes) if p in mapped)
+        pairs = {(x.a, x.b) for x in inside}
+        induced = b.morphism.induced and not b.implicit
+        if induced:
+            pairs |= {(p, q) for k, p in enumerate(here) for q in here[k + 1 :]}
+        out, tests = self.out, []
         for k, (p, q) in enumerate(sorted(pairs)):
             # One row at most matches, so a left join gives every match its pair's slots.
             claimed = frozenset(self.query.claimed(p, q))
             own = [x for x in inside if (x.a, x.b) == (p, q)]
-            fired = [F.coalesce(edge_test(self.graph, x, p, claimed), F.lit(False)) for x in own]
-            flags = [f.alias(f"_f{i}") for i, f in enumerate(fired)]
-            view = self.graph.pair.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("n_slots").alias("_n"), *flags)
-            hits = hits.join(view, self.on(name(p), name(q)), "left")
+            flags = [edge_test(self.graph, x, p, claimed).alias(f"_f{k}_{i}") for i, x in enumerate(own)]
+            view = self.graph.pair.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("n_slots").alias(f"_n{k}"), *flags)
+            out = out.join(view, self.on(name(p), name(q)), "left").drop("_s", "_d")
             for i, x in enumerate(own):
-                flag = F.coalesce(F.col(f"_f{i}"), F.lit(False))
+                flag = F.coalesce(F.col(f"_f{k}_{i}"), F.lit(False))
                 tests.append(~flag if x.negated else flag)
-            if b.morphism.induced and not b.implicit and p != q and p in shared and q in shared:
-                tests.append(F.coalesce("_n", F.lit(0)) - len(claimed) <= sum(not x.negated for x in own))
-            hits = hits.where(reduce(and_, tests, F.lit(True))).drop("_s", "_d", "_n", *[f"_f{i}" for i in range(len(own))])
-            tests = []
-        left = [p for p in b.extra]
-        touching = [x for x in b.edges if (x.a in extra or x.b in extra) and not any(p not in extra and p not in mapped for p in (x.a, x.b))]
-        if not left:
-            self._drop(hits, bool(pairs))
-            return
-        if self._simple(b, left, touching, pairs):
-            return
-        known = list(self.bound)
-        while left:
-            p = next((p for p in left if any(not x.negated and x.a != x.b and x.other(p) in known for x in touching if p in (x.a, x.b))), left[0])
-            hits = self._extend(hits, b, p, known, touching, last=len(left) == 1)
-            left.remove(p)
-            known.append(p)
-        self._drop(hits, True)
+            if induced and p != q:
+                tests.append(F.coalesce(f"_n{k}", F.lit(0)) - len(claimed) <= sum(not x.negated for x in own))
+        return out, tests
 
-    def _drop(self, hits: DataFrame, conditional: bool) -> None:
+    def _drop(self, hits: DataFrame) -> None:
         keys = [name(p) for p in self.bound]
         if not keys:
             # One empty match: it stays only if there is no hit.
             some = hits.limit(1).agg(F.count("*").alias("_hits"))
             self.out = self.out.crossJoin(F.broadcast(some)).where("_hits = 0").select()
-        elif not conditional:
-            self.out = self.out.where(F.lit(False))
         else:
             # A match is a unique key, so it needs no row number.
             gone = hits.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
             self.out = self.out.join(gone, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]), "left_anti")
 
-    def _simple(self, b: Ban, left: list[int], touching: list[PatternEdge], pairs) -> bool:
+    def _simple(self, b: Ban, left: list[int], touching: list[PatternEdge], tests: list[Column]) -> bool:
         """One further node behind one bound node: a single anti-join, its injectivity a residual of the join."""
-        if len(left) != 1 or pairs or not touching or any(x.negated or x.a == x.b for x in touching):
+        if len(left) != 1 or tests or not touching or any(x.negated or x.a == x.b for x in touching):
             return False
         p = left[0]
         ends = {x.other(p) for x in touching}
@@ -266,6 +322,6 @@ class Lowering:
         return hits
 
 
-def lower(graph: Graph, query: CompiledQuery) -> DataFrame:
-    """All matches as columns n<id>."""
-    return Lowering(graph, query).run()
+def lower(graph: Graph, query: CompiledQuery, start: DataFrame | None = None) -> DataFrame:
+    """All matches as columns n<id>; with ``start``, those whose context nodes one of its rows binds."""
+    return Lowering(graph, query, start).run()

@@ -10,23 +10,39 @@ from pyspark.sql import types as T
 from .. import errors as err
 from ..model import Kind
 from ..operators.graph import Graph
+from .store import delete_folder, folder_exists, written
 
 VERSION = 1
 
 
 def save(graph: Graph, path: str) -> None:
-    """Write a new snapshot; an existing one isn't overwritten."""
-    graph.nodes.write.parquet(f"{path}/nodes")
-    graph.edges.write.parquet(f"{path}/edges")
-    header = {"format": "weft", "version": VERSION, "kind": graph.kind.name, "nodes": graph.nodes.schema.jsonValue(), "edges": graph.edges.schema.jsonValue(), "node_count": graph.node_count(), "edge_count": graph.edge_count()}
+    """Write a new snapshot; an existing one isn't overwritten.
+
+    The manifest comes last and makes it a snapshot. What a run that died left
+    without a manifest is written over.
+    """
+    if exists(graph.spark, path):
+        raise PersistFailure(path=path, cause="there is a snapshot")
+    for part in ("nodes", "edges", "manifest"):
+        delete_folder(graph.spark, f"{path}/{part}")
+    nodes, edges = written(graph.nodes, f"{path}/nodes"), written(graph.edges, f"{path}/edges")
+    header = {"format": "weft", "version": VERSION, "kind": graph.kind.name, "nodes": graph.nodes.schema.jsonValue(), "edges": graph.edges.schema.jsonValue(), "node_count": nodes.count(), "edge_count": edges.count()}
     graph.spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a whole snapshot is there: its manifest was committed."""
+    return folder_exists(spark, f"{path}/manifest/_SUCCESS")
+
+
 def read_header(spark: SparkSession, path: str) -> dict:
     """The manifest alone."""
+    if not folder_exists(spark, f"{path}/manifest"):
+        raise PersistFailure(path=path, cause="no manifest")
+    rows = spark.read.text(f"{path}/manifest").collect()
     try:
-        header = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    except Exception as e:
+        header = json.loads(rows[0][0])
+    except (IndexError, ValueError) as e:
         raise PersistFailure(path=path, cause=str(e)[:200]) from e
     if header.get("format") != "weft" or header.get("version") != VERSION:
         raise PersistFailure(path=path, cause="another format or version")

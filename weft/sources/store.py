@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,20 +13,59 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a local folder only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"file:/tmp/weft-{spark.sparkContext.applicationId}").rstrip("/")
+    """What ``spark.checkpoint.dir`` names. Where that is unset, a local folder, but only if driver and executors are one process."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:{tempfile.gettempdir()}/weft-{context.applicationId}"
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back: its lineage ends here, and lost executors lose nothing."""
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet and read back. The shuffle files of the write go as soon as it is done."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weft-graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back: its lineage ends here, and lost executors lose nothing."""
+    return written(df, f"{shared_folder(df.sparkSession)}/weft-graph/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark knows, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete every table that ``materialized`` wrote in this application. For when the results that read them are written."""
+    delete_folder(spark, f"{shared_folder(spark)}/weft-graph/{spark.sparkContext.applicationId}")
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` on executors that may not have this package installed: it is sent to them once an application."""
     context = df.sparkSession.sparkContext

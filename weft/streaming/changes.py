@@ -18,7 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.graph import Graph
 from ..operators.modify import EDGE_KEY, Delta, Modification, apply_delta, check_delta
-from ..sources.persist import PersistFailure, load, read_header, save
+from ..operators.session import BanVerdict, Session
+from ..sources.persist import exists, load, save
+from ..sources.store import folder_exists, names_in
 
 OPS = ("add_node", "swap_node", "remove_edge", "swap_edge", "add_edge", "remove_node")
 
@@ -30,10 +32,19 @@ class Control(Enum):
 
 
 class Watcher:
-    """Hears of every change and of every match; returning ``Control.STOP`` from ``on_match`` ends the matches."""
+    """Hears of changes and of searches; ``Control.STOP`` from ``on_bind`` or ``on_match`` ends a search. All of it does nothing unless overridden."""
 
     def on_change(self, kind: str, id: int | None, edge: tuple | None) -> None: ...
 
+    def on_bind(self, node: int, row) -> Control:
+        return Control.CONTINUE
+
+    def on_unbind(self, node: int, row) -> None: ...
+
+    def on_edge_test(self, row) -> None: ...
+
+    def on_ban_verdict(self, ban: int, verdict: BanVerdict, row) -> None: ...
+
     def on_match(self, row) -> Control:
         return Control.CONTINUE
 
@@ -54,6 +65,31 @@ def watch_matches(watcher: Watcher, found: DataFrame) -> int:
     return n
 
 
+def watch_search(watcher: Watcher, session: Session) -> int:
+    """Tell a watcher of a whole search, step by step; how many matches it heard of.
+
+    Edge tests come first, then for each node the partial matches that it extends
+    and those that end there, then what the bans say, then the matches. Rows are
+    streamed to the driver one partition at a time, so this is for looking at
+    searches, not for running them.
+    """
+    for row in session.edge_tests().toLocalIterator():
+        watcher.on_edge_test(row)
+    before = None
+    for (step, frame), p in zip(session.trace(), session.query.order, strict=False):
+        assert step == f"bind n{p}"
+        if before is not None:
+            for row in before.join(frame, before.columns, "left_anti").toLocalIterator():
+                watcher.on_unbind(p, row)
+        for row in frame.toLocalIterator():
+            if watcher.on_bind(p, row) is Control.STOP:
+                return 0
+        before = frame
+    for row in session.ban_verdicts().toLocalIterator():
+        watcher.on_ban_verdict(row["ban"], BanVerdict[row["verdict"]], row)
+    return watch_matches(watcher, session.matches())
+
+
 def batch_delta(graph: Graph, rows: DataFrame) -> tuple[Delta, DataFrame, DataFrame]:
     """(delta, ids that must exist, names of new nodes) of a batch of operations. Ids of new nodes are given by the stream."""
 
@@ -76,34 +112,37 @@ def batch_delta(graph: Graph, rows: DataFrame) -> tuple[Delta, DataFrame, DataFr
 
 
 class MutationStream:
-    """Snapshots under ``path``: ``0`` is the start, batch k gives ``k + 1``."""
+    """Snapshots under ``path``: ``0`` is the start, batch k gives ``k + 1``. A path that holds snapshots is resumed at its last one."""
 
     def __init__(self, start: Graph, path: str):
         self.spark, self.path, self.kind = start.spark, path, start.kind
-        try:
-            read_header(self.spark, f"{path}/0")
-        except PersistFailure:
+        if not exists(self.spark, f"{path}/0"):
             save(start, f"{path}/0")
-        self.latest = 0
+        known = [int(v) for v in names_in(self.spark, path) if v.isdigit() and exists(self.spark, f"{path}/{v}")]
+        self.latest = max(known)
 
     def snapshot(self, version: int | None = None) -> Graph:
         return load(self.spark, f"{self.path}/{self.latest if version is None else version}", self.kind)
 
     def apply(self, rows: DataFrame, batch: int, on_batch: Callable[[int, Graph, Modification], None] | None = None) -> None:
-        try:
-            read_header(self.spark, f"{self.path}/{batch + 1}")
-        except PersistFailure:
+        """Apply a batch once, and call ``on_batch`` until it has returned once: again if a run died in it."""
+        here = f"{self.path}/{batch + 1}"
+        new = not exists(self.spark, here)
+        if new or (on_batch is not None and not folder_exists(self.spark, f"{here}/told")):
             before = load(self.spark, f"{self.path}/{batch}", self.kind)
             rows = rows.persist()
             delta, needed, names = batch_delta(before, rows)
-            check_delta(before, delta, needed)
+            if new:
+                check_delta(before, delta, needed)
             after, done = apply_delta(before, delta, names)
-            save(after, f"{self.path}/{batch + 1}")
-            self.latest = batch + 1
+            if new:
+                save(after, here)
+            self.latest = max(self.latest, batch + 1)
             if on_batch is not None:
-                on_batch(batch, self.snapshot(), done)
+                on_batch(batch, self.snapshot(batch + 1), done)
+                self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{here}/told")
             rows.unpersist()
-        self.latest = batch + 1
+        self.latest = max(self.latest, batch + 1)
 
     def start(self, stream: DataFrame, checkpoint: str, on_batch: Callable[[int, Graph, Modification], None] | None = None, **trigger) -> StreamingQuery:
         """Drive the snapshots by a streaming table of operations."""
