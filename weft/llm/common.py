@@ -7,37 +7,89 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import shared_folder
+from ..sources.store import delete_folder, shared_folder, written
+
+#: Bits of the map that ``apart`` broadcasts: 2**17 rows of two longs at most, whatever it is made from.
+MAP_BITS = 1 << 23
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage with files that survive lost executors, and keeps a
-    table that several branches need from being computed once a branch.
+    table that several branches need from being computed once a branch. Operators
+    drop the tables that nothing reads any more; those that their lazy results
+    read are the caller's to remove, by ``drop_staged`` once results are written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weft/{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(spark)}/weft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
+    out = written(df, path, compression="zstd")
+    out._staged_at = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of one table that ``staged`` returned, once nothing reads it any more."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(df.sparkSession, df._staged_at)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete every table that ``staged`` left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/weft")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table that ``staged`` left in the shared folder for this application."""
+    delete_folder(spark, f"{shared_folder(spark)}/weft/{spark.sparkContext.applicationId}")
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def apart(docs: DataFrame, key: Column, table: DataFrame, table_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in ``table``, the others), by a broadcast bit map of bounded size.
+
+    Only the others need a join, so the texts of the first are not moved. The more
+    keys ``table`` has, the more rows are among the others; nothing is decided here.
+    """
+    place, word, bits = fresh(docs, "_place", "_word", "_bits")
+    at = F.pmod(table_key, F.lit(MAP_BITS))
+    words = table.select(F.floor(at / 64).cast("long").alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    words = staged(words, "map")
+    marked = docs.withColumn(place, F.pmod(key, F.lit(MAP_BITS)))
+    joined = marked.join(F.broadcast(words), F.floor(F.col(place) / 64).cast("long") == F.col(word), "left")
+    hit = F.coalesce(F.getbit(F.col(bits), F.pmod(F.col(place), F.lit(64)).cast("int")), F.lit(0)) == 1
+    return joined.where(~hit).drop(place, word, bits), joined.where(hit).drop(place, word, bits)
+
+
+def settle(docs: DataFrame, id_col: str, key: Column, marks: DataFrame) -> DataFrame:
+    """``docs`` after the decisions in ``marks`` (``_id, _key, _drop``, each pair once).
+
+    Rows whose id and key are marked to drop go; of rows that repeat a marked id
+    and key that is not to drop, one stays; all other rows stay. A null id is
+    an id like others.
+    """
+    marks = staged(marks, "marks")
+    mine, m_id, m_key, m_drop = fresh(docs, "_key_of", "_mark_id", "_mark_key", "_mark_drop")
+    keyed = docs.withColumn(mine, key)
+    rest, some = apart(keyed, F.xxhash64(column(id_col), column(mine)), marks, F.xxhash64("_id", "_key"))
+    told = marks.select(F.col("_id").alias(m_id), F.col("_key").alias(m_key), F.col("_drop").alias(m_drop))
+    joined = some.join(told, column(id_col).eqNullSafe(F.col(m_id)) & (F.col(mine) == F.col(m_key)), "left")
+    once = joined.where(~F.col(m_drop)).dropDuplicates([id_col, mine])
+    return rest.unionAll(joined.where(F.col(m_drop).isNull()).drop(m_id, m_key, m_drop)).unionAll(once.drop(m_id, m_key, m_drop)).drop(mine)
 
 
 def text_of(column: str | Column) -> Column:
     """The text with null read as empty."""
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+    return F.coalesce(F.col(f"`{column}`") if isinstance(column, str) else column, F.lit(""))
 
 
 def dealt_anew(column: str | Column) -> Column:

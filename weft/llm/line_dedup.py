@@ -1,9 +1,9 @@
 """Line deduplication that returns bitmaps instead of text.
 
 Lines become (digest, document, position) rows. Digests that a Misra-Gries
-summary finds frequent get their first document from an aggregate that combines
-on the map side, and are settled by a broadcast of at most ``1 / support`` rows.
-The rest are range-partitioned by digest and sorted by document and position, so
+summary finds and a count verifies to hold more than ``support`` of all lines get
+their first document from an aggregate that combines on the map side, and are
+settled by a broadcast of fewer than ``1 / support`` rows. The rest are range-partitioned by digest and sorted by document and position, so
 one pass over each partition meets every line's first occurrence first. What
 leaves is a sparse bitmap of dropped lines per document.
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frequent_values, staged, text_of
+from .common import apart, column, fresh, frequent_values, staged, text_of
+from .exact_dedup import SUPPORT
 
 BLANK_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,7 +32,7 @@ def _row_key(text_col: str) -> Column:
     return F.xxhash64(text_of(text_col))
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, support: float = 1 / 1024) -> DataFrame:
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, support: float = SUPPORT) -> DataFrame:
     """Lines to drop: ``_id, _row, n_dropped, words``.
 
     ``words`` has ``(word, bits)`` pairs in order; bit ``b`` of word ``w`` stands
@@ -41,17 +42,19 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * keys under ``min_chars`` code points never drop
     * rows with a null id hold no keys and lose no lines
     * rows that share an id are one document; each loses lines by the same rule
+    * other columns, of any name, are ignored
     """
     lines = staged(
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), _row_key(text_col).alias("_row"), F.posexplode(F.split(ascii_lower(text_of(text_col)), "\n")).alias("_pos", "_line"))
+        docs.where(column(id_col).isNotNull())
+        .select(column(id_col).alias("_id"), _row_key(text_col).alias("_row"), F.posexplode(F.split(ascii_lower(text_of(text_col)), "\n")).alias("_pos", "_line"))
         .withColumn("_key", F.btrim("_line", F.lit(BLANK_CHARS)))
         .where(F.char_length("_key") >= min_chars)
         .select(F.md5(F.col("_key").cast("binary")).alias("_digest"), "_id", "_row", "_pos"),
         "lines",
     )
     candidates = frequent_values(lines, "_digest", support)
-    winners = staged(lines.join(F.broadcast(candidates), "_digest").groupBy("_digest").agg(F.min("_id").alias("_first")), "winners")
+    counts = lines.join(F.broadcast(candidates), "_digest").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    winners = staged(counts.where(F.col("_n") > support * lines.count()).drop("_n"), "winners")
     heavy = lines.join(F.broadcast(winners), "_digest")
     seen = Window.partitionBy("_digest").orderBy("_id", "_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     light = (
@@ -73,28 +76,33 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_line_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` cut to the kept lines, and ``n_lines, n_dropped`` beside it."""
+    """``docs`` with ``text_col`` cut to the kept lines, and ``n_lines, n_dropped`` beside it (in place of columns of these names).
+
+    Texts without a bitmap stay where they are read; only the others meet their bitmaps in a join.
+    """
+    docs = docs.drop("n_lines", "n_dropped")
+    bitmaps = staged(bitmaps, "bitmaps")
+    key, b_id, b_row, b_n, b_words = fresh(docs, "_row_key", "_b_id", "_b_row", "_b_n", "_b_words")
     table = bitmaps.select(
-        F.col("_id").alias("_b_id"),
-        F.col("_row").alias("_b_row"),
-        F.col("n_dropped").alias("_b_n"),
-        F.expr("transform(sequence(0, element_at(words, -1).word), w -> coalesce(element_at(map_from_entries(words), w), 0L))").alias("_b_words"),
+        F.col("_id").alias(b_id),
+        F.col("_row").alias(b_row),
+        F.col("n_dropped").alias(b_n),
+        F.expr("transform(sequence(0, element_at(words, -1).word), w -> coalesce(element_at(map_from_entries(words), w), 0L))").alias(b_words),
     )
-    joined = docs.withColumn("_row_key", _row_key(text_col)).join(table, (F.col(id_col) == F.col("_b_id")) & (F.col("_row_key") == F.col("_b_row")), "left")
+    rest, some = apart(docs.withColumn(key, _row_key(text_col)), F.xxhash64(column(id_col), F.col(key)), bitmaps, F.xxhash64("_id", "_row"))
+    joined = some.join(table, (column(id_col) == F.col(b_id)) & (F.col(key) == F.col(b_row)), "left")
     lines = F.split(text_of(text_col), "\n")
 
     def stays(_, i):
-        return F.coalesce(F.get("_b_words", F.floor(i / WORD_BITS).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(WORD_BITS)))), F.lit(0)) == 0
+        return F.coalesce(F.get(b_words, F.floor(i / WORD_BITS).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(WORD_BITS)))), F.lit(0)) == 0
 
-    kept = F.when(F.col("_b_n").isNull(), text_of(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    return (
-        joined.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce("_b_n", F.lit(0)).cast("long"))
-        .withColumn(text_col, kept)
-        .drop("_row_key", "_b_id", "_b_row", "_b_n", "_b_words")
-    )
+    def cut(rows: DataFrame, dropped: Column, kept: Column) -> DataFrame:
+        return rows.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": dropped.cast("long"), text_col: kept}).drop(key, b_id, b_row, b_n, b_words)
+
+    some = cut(joined, F.coalesce(b_n, F.lit(0)), F.when(F.col(b_n).isNull(), text_of(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n")))
+    return cut(rest, F.lit(0), text_of(text_col)).unionAll(some)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, support: float = 1 / 1024) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, support: float = SUPPORT) -> DataFrame:
     """``docs`` without repeated lines; see ``line_bitmaps`` and ``apply_line_bitmaps``. An empty table gives an empty result."""
     return apply_line_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_chars, support), id_col, text_col)
