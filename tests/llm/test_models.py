@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import minhash, suffix_dedup
 from weft.llm.components import components
-from weft.llm.decontaminate import LEAST, MASKS, WINDOW, contamination, decontaminate
+from weft.llm.decontaminate import LEAST, WINDOW, contamination, decontaminate, masks_of, needed
 from weft.llm.lm_score import lm_scores
 from weft.llm.packing import best_fit, pack
 from weft.llm.quality import keep_quality, quality_scores, train_quality
@@ -217,37 +217,64 @@ def test_best_fit_and_pack(table):
 
 
 def test_masks_lose_no_window():
-    for gone in itertools.combinations(range(WINDOW), 2):
-        assert any(all(o + k not in gone for k, bit in enumerate(m) if bit == "1") for m in MASKS for o in range(WINDOW - len(m) + 1))
+    """Whatever permitted words of a window differ, some mask lies on words that agree."""
+    for window in range(1, WINDOW + 1):
+        for gone in itertools.combinations(range(window), window - needed(window)):
+            assert any(all(o + k not in gone for k, bit in enumerate(m) if bit == "1") for m in masks_of(window) for o in range(window - len(m) + 1))
 
 
 def windows_by_hand(docs, items):
-    out = set()
+    """{(document, item): best share of words that agree}."""
+    out = {}
     for (i, t), (j, u) in itertools.product(docs, items):
         w, v = (re.findall(r"[^\W_]+", (x or "").lower()) for x in (t, u))
         size = min(WINDOW, len(v))
-        if size < 8:
-            continue
-        if any(sum(a == b for a, b in zip(w[p : p + size], v[q : q + size], strict=True)) >= LEAST * size for p in range(len(w) - size + 1) for q in range(len(v) - size + 1)):
-            out.add((i, j))
+        agree = [sum(a == b for a, b in zip(w[p : p + size], v[q : q + size], strict=True)) for p in range(len(w) - size + 1) for q in range(len(v) - size + 1) if size]
+        if agree and max(agree) >= LEAST * size - 1e-9:
+            out[i, j] = max(agree)
     return out
 
 
+@pytest.mark.parametrize("length", range(1, 15))
+def test_contamination_at_each_length(spark, table, length):
+    """Every permitted pattern of substitutions in an item of each length, and every pattern with one more."""
+    names = [f"w{k}" for k in range(400)]
+    rng = random.Random(length)
+    item = [names[k] for k in rng.sample(range(300), length)]
+    window = min(WINDOW, length)
+    docs = []
+    for size in (window - needed(window), window - needed(window) + 1):
+        for gone in itertools.islice(itertools.combinations(range(window), size), 0, None, 1 if size < 3 else 7):
+            docs.append((len(docs), " ".join([names[300 + len(docs) % 90], *("other" if k in gone else x for k, x in enumerate(item[:window])), "tail"])))
+    items = [(1, " ".join(item))]
+    got = {(r["doc_id"], r["item_id"]): r["agree"] for r in contamination(table(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == windows_by_hand(docs, items)
+
+
+def test_contamination_of_repeated_words(spark, table):
+    """Long texts of one word, or of a short period, are no product of places."""
+    docs = [(1, "same " * 200_000), (2, "one two three " * 60_000), (3, "same " * 12), (4, "one three two " * 40)]
+    items = [(1, "same " * 2000), (2, "one two three " * 700), (3, "same same")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["agree"], r["word"], r["item_word"]) for r in contamination(table(docs), bench).collect()}
+    assert got == {(1, 1): (13, 0, 0), (1, 3): (2, 0, 0), (2, 2): (13, 0, 0), (3, 3): (2, 0, 0)}
+
+
 def test_contamination(spark, table):
     rng = random.Random(9)
     names = [f"w{k}" for k in range(500)]
-    items = [(k, prose(rng, n, names)) for k, n in enumerate((13, 20, 40, 60, 14))]
+    items = [(k, prose(rng, n, names)) for k, n in enumerate((13, 20, 40, 60, 14, 9, 3))]
     docs = []
     for k in range(40):
         words = prose(rng, 60, names).split()
-        item = items[k % 5][1].split()
+        item = items[k % 7][1].split()
         cut = item[rng.randint(0, max(0, len(item) - 20)) :][: rng.randint(8, 20)]
         for _ in range(k % 4):
             cut[rng.randrange(len(cut))] = "zz"
         docs.append((k, " ".join(words[:30] + (cut if k % 3 else []) + words[30:])))
     docs += [(90, None), (91, ""), (None, items[2][1]), (92, items[3][1].upper().replace(" ", ", "))]
-    bench = spark.createDataFrame([*items, (8, "too short"), (9, None)], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]) for r in contamination(table(docs), bench).collect()}
+    bench = spark.createDataFrame([*items, (8, "not there"), (9, None)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["agree"] for r in contamination(table(docs), bench).collect()}
     assert found == windows_by_hand(docs, items)
     clean = decontaminate(table(docs), bench)
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == sorted((i for i, _ in docs if i not in {d for d, _ in found}), key=repr)
