@@ -2,15 +2,16 @@
 
 One classifier reads the text (hashed words, and shares of kinds of characters
 and of repeated words), the other the page's metadata (language, source, length).
-In each round either labels the unlabelled documents that it is surest of, as
-many of each class as the labels suggest, and hands them to the other. Both are
-calibrated on labelled rows held out from training, a weight for each view is
-fitted there too, and the combined probability scores every document.
-
-Both are fitted on bounded samples: at most ``max_labelled`` labelled and
-``max_unlabelled`` other documents, those with the smallest hash of their id.
-The sample's ids, never more than the two bounds, are broadcast; every document
-is scored.
+Both are logistic regressions fitted on the driver, on at most ``max_labelled``
+labelled documents (those with the smallest hash of their id).
+
+In each round every unlabelled document is scored by both views on the
+executors. Those that a view is surest of, as many of each class as the labels
+suggest and more in each round, become training rows of the other view: each
+class is summed into ``GROUPS`` mean rows, so all of them count, however many,
+and a table of fixed size reaches the driver. Both views are calibrated on
+labelled rows held out from training, a weight for each view is fitted there too,
+and the combined probability scores every document.
 """
 
 from __future__ import annotations
@@ -21,13 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import text_of
-from .linear import Rows, fit, platt, sigmoid
-from .words import hashed_words, pieces_of, raw_bytes, sorted_unique
+from .common import column, drop_table, fresh, staged, text_of
+from .linear import Rows, fit, logistic, platt, sigmoid
+from .words import hashed_words, lists, pieces_of, raw_bytes, sorted_unique
 
 WORD_BUCKETS, SHARE_BUCKETS = 1 << 15, 16
 TEXT_SIZE = WORD_BUCKETS + SHARE_BUCKETS * 8
 META_SIZE = 1 << 12
+SIZES = {"text": TEXT_SIZE, "meta": META_SIZE}
+VIEWS = ("text", "meta")
+#: Cells of a histogram of log odds, which are cut at +-BOUND.
+CELLS, BOUND = 4096, 32.0
+#: Mean rows a class into which the documents that a view labels are summed.
+GROUPS = 16
 
 _CLASS = np.full(256, 5, np.int8)  # symbols
 _CLASS[128:] = 0
@@ -40,12 +47,12 @@ _CLASS[[*b".,;:!?'\"()-"]] = 6
 _CLASS[[*b"!?"]] = 7
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, values, offsets): distinct hashed words (one half of the length) and bins of shares (the other)."""
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features, offsets): a text's distinct hashed words, then the bins of its eight shares."""
     data, byte_at = raw_bytes(texts)
     words, at = hashed_words(texts)
     bucket, word_at, _ = sorted_unique(words % np.uint64(WORD_BUCKETS), at)
-    distinct, distinct_at, _ = sorted_unique(words, at)
+    distinct_at = sorted_unique(words, at)[1]
     n_bytes = np.maximum(np.diff(byte_at), 1)
     n_words = np.diff(at)
     kinds = _CLASS[data]
@@ -55,155 +62,224 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_rows, width = bins.shape
     n = np.diff(word_at)
     out_at = np.concatenate([[0], np.cumsum(n + width)])
-    features = np.empty(out_at[-1], np.int64)
-    values = np.empty(out_at[-1])
+    features = np.empty(out_at[-1], np.int32)
     row = np.repeat(np.arange(n_rows), n)
-    place = out_at[row] + np.arange(len(bucket)) - word_at[row]
-    features[place], values[place] = bucket.astype(np.int64), (0.5 / np.sqrt(np.maximum(n, 1)))[row]
-    tail = (out_at[1:, None] - width + np.arange(width)).ravel()
-    features[tail], values[tail] = bins.ravel(), 1 / np.sqrt(width)
-    return features, values, out_at
+    features[out_at[row] + np.arange(len(bucket)) - word_at[row]] = bucket.astype(np.int32)
+    features[(out_at[1:, None] - width + np.arange(width)).ravel()] = bins.ravel()
+    return features, out_at
 
 
-def meta_features(columns: list[pa.Array], length: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meta_features(columns: list[pa.Array], length: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """One hashed feature for each metadata column and one for the length's power of two."""
     parts = []
     for k, c in enumerate(columns):
         h, at = hashed_words(pa.array([f"c{k}x{str(x).encode().hex()}" for x in c.to_pylist()], pa.large_string()))
-        parts.append((h[at[:-1]] % np.uint64(META_SIZE - 64)).astype(np.int64))
+        parts.append((h[at[:-1]] % np.uint64(META_SIZE - 64)).astype(np.int32))
     size = np.nan_to_num(np.array(length.to_pylist(), float), nan=0.0)
-    parts.append(META_SIZE - 64 + np.minimum(63, np.log2(np.maximum(size, 1)) * 2).astype(np.int64))
+    parts.append(META_SIZE - 64 + np.minimum(63, np.log2(np.maximum(size, 1)) * 2).astype(np.int32))
     features = np.stack(parts, 1)
-    return features.ravel(), np.ones(features.size), np.arange(len(features) + 1) * features.shape[1]
+    return features.ravel(), np.arange(len(features) + 1) * features.shape[1]
+
+
+def rows_of(view: str, features: np.ndarray, at: np.ndarray) -> Rows:
+    """Words have one half of a text's length, the eight shares the other; metadata features are alike."""
+    if view == "meta":
+        return Rows(features, np.ones(len(features)), at)
+    n = np.diff(at) - 8
+    values = np.repeat(0.5 / np.sqrt(np.maximum(n, 1)), np.diff(at))
+    values[(at[1:, None] - 8 + np.arange(8)).ravel()] = 1 / np.sqrt(8)
+    return Rows(features, values, at)
 
 
 class CoTrained:
-    """The two views' weights, their calibrations and the weights of the views."""
-
-    def __init__(self, text: np.ndarray, meta: np.ndarray, stack: np.ndarray):
-        self.text, self.meta, self.stack = text, meta, stack
-
-    def score(self, text: Rows, meta: Rows) -> np.ndarray:
-        a = text.times(self.text[:-1]) + self.text[-1]
-        b = meta.times(self.meta[:-1]) + self.meta[-1]
-        return sigmoid(self.stack[0] * a + self.stack[1] * b + self.stack[2])
-
-
-def co_train(text: Rows, meta: Rows, y: np.ndarray, known: np.ndarray, held: np.ndarray, rounds: int, step_share: float) -> CoTrained:
-    """``known`` rows have labels; of these ``held`` calibrate and the rest train."""
-    train = known & ~held
-    prior = float(y[train].mean()) if train.any() else 0.5
-    views = {"text": (text, TEXT_SIZE), "meta": (meta, META_SIZE)}
-    labels = {v: np.where(train, y, 0.0) for v in views}
-    weight = {v: train.astype(float) for v in views}
-    pool = ~known
-    step = int(step_share * pool.sum())
-    weights = {}
-    for k in range(rounds + 1):
-        weights = {v: fit(rows, labels[v], weight[v], size) for v, (rows, size) in views.items()}
-        if k == rounds:
-            break
+    """The two views' weights and the weights of the views."""
+
+    def __init__(self):
+        self.weights = {v: np.zeros(SIZES[v] + 1) for v in VIEWS}
+        self.stack = np.array([1.0, 0.0, 0.0])
+
+    def odds(self, view: str, rows: Rows) -> np.ndarray:
+        return np.clip(rows.times(self.weights[view][:-1]) + self.weights[view][-1], -BOUND, BOUND)
+
+    def score(self, rows: dict[str, Rows]) -> np.ndarray:
+        return sigmoid(self.stack[0] * self.odds("text", rows["text"]) + self.stack[1] * self.odds("meta", rows["meta"]) + self.stack[2])
+
+
+def _inputs(docs: DataFrame, text_col: str, meta_cols: list[str], names: list[str]) -> list:
+    """Text, length and metadata, under names of which there is one each."""
+    return [text_of(text_col).alias(names[0]), F.char_length(text_of(text_col)).alias(names[1]), *[column(c).cast("string").alias(n) for c, n in zip(meta_cols, names[2:], strict=True)]]
+
+
+def _features_of(b: pa.RecordBatch, names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    return {"text": text_features(b.column(names[0])), "meta": meta_features([b.column(n) for n in names[2:]], b.column(names[1]))}
+
+
+def _cell(odds: np.ndarray) -> np.ndarray:
+    return np.minimum(CELLS - 1, ((odds + BOUND) * (CELLS / (2 * BOUND))).astype(np.int64))
+
+
+def _odds_of(cell: np.ndarray) -> np.ndarray:
+    return (cell + 0.5) * (2 * BOUND / CELLS) - BOUND
+
+
+def _rows_of(b: pa.RecordBatch | pa.Table, view: str) -> Rows:
+    """A view's rows in a batch of the feature table."""
+    col = b.column(view)
+    col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) and col.num_chunks else col if isinstance(col, pa.Array) else pa.array([], pa.list_(pa.int32()))
+    return rows_of(view, col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
+
+
+def _summed(table: DataFrame, count, size: int) -> np.ndarray:
+    """The sum of a vector of fixed size over all batches; ``count(batch, out)`` adds to it. One row a task and place that isn't zero is sent, and the driver gets ``size`` rows at most."""
+
+    def run(batches):
+        out = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                count(b, out)
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["place", "n"])
+
+    got = table.transform(map_arrow, run, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[got.column("place").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _limits(free: np.ndarray, n_good: float, n_bad: float) -> tuple[float, float]:
+    """(least odds that count as good, most that count as bad): at most so many rows, up to a cell, and only where the view is sure."""
+    odds, sure, step = _odds_of(np.arange(CELLS)), np.log(9.0), BOUND / CELLS
+    good, bad = (np.cumsum(free[::-1])[::-1] <= n_good) & (odds >= sure), (np.cumsum(free) <= n_bad) & (odds <= -sure)
+    return (odds[good].min() - step if good.any() else np.inf), (odds[bad].max() + step if bad.any() else -np.inf)
+
+
+def _exchange(pool: DataFrame, model: CoTrained, n_good: float, n_bad: float) -> dict[str, tuple[Rows, np.ndarray, np.ndarray]]:
+    """For each view the mean rows, labels and numbers of the unlabelled documents that the other view is surest of."""
+    shared = pool.sparkSession.sparkContext.broadcast(model)
+
+    def histogram(b, out):
+        for k, view in enumerate(VIEWS):
+            out[k * CELLS : (k + 1) * CELLS] += np.bincount(_cell(shared.value.odds(view, _rows_of(b, view))), minlength=CELLS)
+
+    counts = _summed(pool, histogram, 2 * CELLS).reshape(2, CELLS)
+    limits = {v: _limits(counts[k], n_good, n_bad) for k, v in enumerate(VIEWS)}
+    widths = {v: SIZES[v] + 1 for v in VIEWS}  # the last place counts rows
+    starts = {"text": 0, "meta": 2 * GROUPS * widths["text"]}
+
+    def sums(b, out):
+        group = b.column("h").to_numpy() % GROUPS
         for giver, taker in (("text", "meta"), ("meta", "text")):
-            rows, _ = views[giver]
-            p = sigmoid(rows.times(weights[giver][:-1]) + weights[giver][-1])
-            free = np.flatnonzero(pool & (weight[taker] == 0))
-            order = free[np.argsort(p[free], kind="stable")]
-            n_good, n_bad = round(step * prior), round(step * (1 - prior))
-            # Only what the giver is sure of passes: a view that knows nothing beyond the prior gives nothing.
-            good = [i for i in order[::-1][:n_good] if p[i] >= 0.9]
-            bad = [i for i in order[:n_bad] if p[i] <= 0.1]
-            for picked, label in ((good, 1.0), (bad, 0.0)):
-                labels[taker][picked] = label
-                weight[taker][picked] = 0.5
-    a = text.times(weights["text"][:-1]) + weights["text"][-1]
-    b = meta.times(weights["meta"][:-1]) + weights["meta"][-1]
-    fitted = held if held.any() else train
-    if not fitted.any():
-        return CoTrained(weights["text"], weights["meta"], np.array([1.0, 0.0, 0.0]))
-    one = np.ones(int(fitted.sum()))
-    sa, ca = platt(a[fitted], y[fitted], one)
-    sb, cb = platt(b[fitted], y[fitted], one)
-    # The calibrated views' log odds, each without the prior, are added by one more calibrated weight each.
-    x = np.stack([sa * a + ca, sb * b + cb, np.ones_like(a)])[:, fitted]
-    w = np.array([1.0, 0.0, 0.0])
-    for _ in range(50):
-        p = sigmoid(w @ x)
-        grad = x @ (p - y[fitted]) + 1.0 * (w - np.array([1.0, 0.0, 0.0]))
-        w = w - np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)) @ x.T + np.eye(3), grad)
-    return CoTrained(weights["text"], weights["meta"], np.array([w[0] * sa, w[1] * sb, w[0] * ca + w[1] * cb + w[2]]))
-
-
-def _features_of(b: pa.RecordBatch, meta_cols: list[str]) -> tuple[Rows, Rows]:
-    return Rows(*text_features(b.column("_text"))), Rows(*meta_features([b.column(f"_m{k}") for k in range(len(meta_cols))], b.column("_len")))
-
-
-def _inputs(docs: DataFrame, text_col: str, meta_cols: list[str]) -> list:
-    return [text_of(text_col).alias("_text"), F.char_length(text_of(text_col)).alias("_len"), *[F.col(c).cast("string").alias(f"_m{k}") for k, c in enumerate(meta_cols)]]
-
-
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", max_labelled: int = 6000, max_unlabelled: int = 6000, rounds: int = 3, step_share: float = 0.15) -> CoTrained:
-    """Fit on the bounded samples. Labelled ids with differing labels, null ids and null labels are not used."""
+            least, most = limits[giver]
+            odds, rows, width = shared.value.odds(giver, _rows_of(b, giver)), _rows_of(b, taker), widths[taker]
+            sure = np.flatnonzero((odds >= least) | (odds <= most))
+            slot = np.full(len(odds), -1)
+            slot[sure] = (odds[sure] >= least) * GROUPS + group[sure]
+            at = starts[taker] + slot * width
+            out += np.bincount(at[sure] + width - 1, minlength=len(out))
+            on = slot[rows.row] >= 0
+            np.add.at(out, at[rows.row[on]] + rows.features[on], rows.values[on])
+
+    total = _summed(pool, sums, starts["meta"] + 2 * GROUPS * widths["meta"]) if any(np.isfinite(x).any() for x in limits.values()) else np.zeros(starts["meta"] + 2 * GROUPS * widths["meta"])
+    out = {}
+    for taker in VIEWS:
+        table = total[starts[taker] : starts[taker] + 2 * GROUPS * widths[taker]].reshape(2 * GROUPS, widths[taker])
+        n = table[:, -1]
+        means = table[:, :-1] / np.maximum(n, 1)[:, None]
+        row, feature = np.nonzero(means)
+        rows = Rows(feature, means[row, feature], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=2 * GROUPS))]), scaled=False)
+        out[taker] = rows, np.repeat([0.0, 1.0], GROUPS), n
+    return out
+
+
+def _stack(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the two views' odds and a constant: each view is calibrated, and one more weight each is fitted."""
+    one = np.ones(len(y))
+    (sa, ca), (sb, cb) = platt(a, y, one), platt(b, y, one)
+    w = logistic(np.stack([sa * a + ca, sb * b + cb, one]), y, one, np.array([1.0, 0.0, 0.0]), np.ones(3))
+    return np.array([w[0] * sa, w[1] * sb, w[0] * ca + w[1] * cb + w[2]])
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", max_labelled: int = 6000, rounds: int = 3, step_share: float = 0.15) -> CoTrained:
+    """Fit on the labelled sample and on all unlabelled documents.
+
+    * labelled ids with differing labels, null ids and null labels count as not labelled
+    * null and empty texts are rows like others; rows that repeat an id all have its label
+    * without labels, or with one class only, scores are about that class's share (without any, 0.5)
+    * an empty table gives that model too; other columns may have any name
+    """
     meta_cols = [c for c in meta_cols if c in docs.columns]
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_y2")).where("_y = _y2")
-    order = F.xxhash64("_key", F.lit(5))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_key")).distinct()
-    labelled = ids.join(known.select("_key", "_y"), "_key").orderBy(order, "_key").limit(max_labelled)
-    others = ids.join(known.select("_key"), "_key", "left_anti").orderBy(order, "_key").limit(max_unlabelled).withColumn("_y", F.lit(None).cast(labelled.schema["_y"].dataType))
-    chosen = labelled.unionByName(others)
-    picked = docs.withColumnRenamed(id_col, "_key").select("_key", *_inputs(docs, text_col, meta_cols)).join(F.broadcast(chosen), "_key")
+    known = labels.where(column(id_col).isNotNull() & column(label_col).isNotNull()).groupBy(column(id_col).alias("_key")).agg(F.min(label_col).cast("double").alias("_y"), F.max(label_col).cast("double").alias("_y2")).where("_y = _y2").drop("_y2")
+    ids = docs.select(column(id_col).alias("_id"))
+    names = ["_text", "_len", *[f"_m{k}" for k in range(len(meta_cols))]]
+    id_type = ids.schema[0].dataType.simpleString()
 
     def extract(batches):
         for b in pieces_of(batches, "_text"):
-            t, m = text_features(b.column("_text")), meta_features([b.column(f"_m{k}") for k in range(len(meta_cols))], b.column("_len"))
-            cols = [b.column("_y").cast(pa.float64()), b.column("_h")]
-            for features, values, at in (t, m):
-                cols += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(features, pa.int32())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.float32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["y", "h", "tf", "tv", "mf", "mv"])
-
-    table = (
-        picked.withColumn("_h", F.xxhash64("_key", F.lit(9)))
-        .select("_y", "_h", *[c for c in picked.columns if c not in ("_key", "_y")])
-        .transform(map_arrow, extract, "y double, h long, tf array<int>, tv array<float>, mf array<int>, mv array<float>")
-        .toArrow()
-        .sort_by("h")
-    )
-
-    def rows(f, v):
-        flat = [table.column(c).combine_chunks() for c in (f, v)]
-        flat = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in flat] if table.num_rows else [pa.array([], pa.list_(pa.int32()))] * 2
-        features, values = (c.flatten().to_numpy(zero_copy_only=False) for c in flat)
-        at = np.concatenate([[0], np.cumsum(flat[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return Rows(features, values, at)
-
-    y = table.column("y").to_numpy()
-    is_known = ~np.isnan(y)
-    held = is_known & (table.column("h").to_numpy() % 5 == 0)
-    text, meta, y = rows("tf", "tv"), rows("mf", "mv"), np.nan_to_num(y)
-    del table  # the rows are copies; training needs the memory
-    return co_train(text, meta, y, is_known, held, rounds, step_share)
-
-
-def _scored(docs: DataFrame, model: CoTrained, text_col: str, meta_cols, keep_from: float | None, out_cols: list[str]) -> DataFrame:
-    """``docs`` with ``_score``; with ``keep_from``, only rows that reach it."""
+            found = _features_of(b, names)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *[lists(*found[v], pa.int32()) for v in VIEWS]], ["_id", *VIEWS])
+
+    features = docs.select(column(id_col).alias("_id"), *_inputs(docs, text_col, meta_cols, names)).transform(map_arrow, extract, f"_id {id_type}, text array<int>, meta array<int>")
+    # Labels grow with the documents; the planner joins them as their size asks for.
+    joined = features.join(known, F.col("_id") == F.col("_key"), "left").drop("_key").withColumn("h", F.when(F.col("_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("_id", F.lit(9))))
+    table = staged(joined, "features")
+    pool = table.where("_y IS NULL").select("h", *VIEWS)
+    sample = table.where("_y IS NOT NULL").orderBy("h", "_id").limit(max_labelled).select("_y", "h", *VIEWS).toArrow()
+    y, held = sample.column("_y").to_numpy(), sample.column("h").to_numpy() % 5 == 0
+    model = CoTrained()
+    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    model.stack = np.array([0.0, 0.0, np.log(share / (1 - share))])
+    if 0 < y.sum() < len(y):
+        rows = {v: _rows_of(sample, v) for v in VIEWS}
+        del sample
+        # A handful of labels may leave a part without a class; then all of them train, and calibrate.
+        if any(not 0 < y[part].sum() < part.sum() for part in (held, ~held)):
+            held = np.ones(len(y), bool)
+            weight = np.ones(len(y))
+        else:
+            weight = (~held).astype(float)
+        prior, n_pool = float(y[weight > 0].mean()), pool.count()
+        model.weights = {v: fit(rows[v], y, weight, SIZES[v]) for v in VIEWS}
+        for k in range(rounds):
+            n = step_share * (k + 1) * n_pool
+            given = _exchange(pool, model, n * prior, n * (1 - prior))
+            for v in VIEWS:
+                more, label, count = given[v]
+                # Documents without a human label weigh half, and together no more than those with one.
+                count = count * min(0.5, weight.sum() / max(count.sum(), 1.0))
+                model.weights[v] = fit(rows[v].plus(more), np.concatenate([y, label]), np.concatenate([weight, count]), SIZES[v], model.weights[v], steps=60)
+        model.stack = _stack(*[model.odds(v, rows[v])[held] for v in VIEWS], y[held])
+    drop_table(table)
+    return model
+
+
+def _scored(docs: DataFrame, model: CoTrained, text_col: str, meta_cols, keep_from: float | None, out_cols: list[str]) -> tuple[DataFrame, str]:
+    """(``out_cols`` of ``docs`` with a score, the score's name); with ``keep_from``, only rows that reach it."""
     meta_cols = [c for c in meta_cols if c in docs.columns]
+    score_col, *names = fresh(docs, "_score", "_text", "_len", *[f"_m{k}" for k in range(len(meta_cols))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for b in pieces_of(batches, "_text"):
-            p = shared.value.score(*_features_of(b, meta_cols))
-            out = pa.RecordBatch.from_arrays([*[b.column(c) for c in out_cols], pa.array(p)], [*out_cols, "_score"])
+        for b in pieces_of(batches, names[0]):
+            p = shared.value.score({v: rows_of(v, *x) for v, x in _features_of(b, names).items()})
+            out = pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(out_cols))], pa.array(p)], [*out_cols, score_col])
             yield out if keep_from is None else out.filter(pa.array(p >= keep_from))
 
-    fields = docs.select(*out_cols).schema.add("_score", "double")
-    return docs.select(*out_cols, *_inputs(docs, text_col, meta_cols)).transform(map_arrow, score, fields)
+    wanted = docs.select(*[column(c) for c in out_cols])
+    return docs.select(*[column(c) for c in out_cols], *_inputs(docs, text_col, meta_cols, names)).transform(map_arrow, score, wanted.schema.add(score_col, "double")), score_col
 
 
 def quality_scores(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """``id_col, score, predicted`` for every row; null and empty texts are scored by the metadata and the empty text's features."""
-    out = _scored(docs, model, text_col, meta_cols, None, [id_col])
-    return out.select(id_col, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    """``id_col, score, predicted`` for every row.
+
+    Null and empty texts are scored by the metadata and the empty text's features;
+    null and repeated ids are scored like others; an empty table gives an empty
+    result; other columns may have any name.
+    """
+    out, score = _scored(docs, model, text_col, meta_cols, None, [id_col])
+    return out.select(column(id_col), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"), threshold: float = 0.5) -> DataFrame:
-    """``docs``, all its columns, without the rows scored under ``threshold``."""
-    return _scored(docs, model, text_col, meta_cols, threshold, docs.columns).drop("_score")
+    """``docs``, all its columns, without the rows scored under ``threshold``. Rows are judged one by one, with the cases of ``quality_scores``."""
+    out, score = _scored(docs, model, text_col, meta_cols, threshold, docs.columns)
+    return out.drop(score)
