@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.exact_dedup import drop_exact_copies, exact_groups
 from weft.llm.line_dedup import line_dedup
-from weft.llm.secret_scan import RULES, scan_secrets, span_text
+from weft.llm.secret_scan import RULES, Rule, findings, new_ledger, read_ledger, scan_secrets, span_text, update_ledger
 
 ODD = [(1, "a  b"), (2, "a b"), (3, None), (4, ""), (None, "a\tb"), (6, "A b"), (6, "A b"), (7, "x" * 50_000), (8, "é è"), (9, "\n\n")]
 
@@ -42,14 +42,13 @@ def test_drop_exact_copies_keeps_columns(table):
     docs = table(ODD).withColumn("_digest", F.lit(1)).withColumn("keep_id", F.lit(2))
     out = drop_exact_copies(docs)
     assert out.columns == docs.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 6, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 6, 7, 8, 9]
 
 
 def test_empty_tables(table):
     docs = table([])
     assert exact_groups(docs).count() == line_dedup(docs).count() == 0
-    findings, ledger = scan_secrets(docs)
-    assert findings.count() == ledger.count() == 0
+    assert scan_secrets(docs).count() == 0
 
 
 LINES = [
@@ -100,22 +99,33 @@ SECRETS = [
 ]
 
 
-def spans_by_hand(text):
+def spans_by_hand(text, changed=None):
     out = []
-    for rank, (kind, (pattern, group, least, _)) in enumerate(RULES.items()):
-        for m in re.finditer(pattern, text or "", re.ASCII):
-            if len(m[group]) >= least:
+    for rank, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule.pattern, text or "", re.ASCII):
+            if len(m[rule.group]) >= (changed or {}).get(kind, rule.least):
                 out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(s for _, _, s in sorted(out))
 
 
-def test_secret_scan_and_ledger(table):
-    findings, fresh = scan_secrets(table(SECRETS))
-    got = findings.select("doc_id", span_text(F.col("spans")).alias("s")).collect()
-    assert sorted(((r["doc_id"], r["s"]) for r in got), key=repr) == sorted(((i, spans_by_hand(t)) for i, t in SECRETS), key=repr)
-    assert fresh.count() == len({t or "" for _, t in SECRETS})
-    more = [*SECRETS, (20, "secret=brandnewvalue")]
-    findings, fresh2 = scan_secrets(table(more), fresh)
-    assert fresh2.count() == 1
-    got = findings.select("doc_id", span_text(F.col("spans")).alias("s")).collect()
-    assert sorted(((r["doc_id"], r["s"]) for r in got), key=repr) == sorted(((i, spans_by_hand(t)) for i, t in more), key=repr)
+def test_secret_scan_and_ledger(spark, table):
+    path = new_ledger(spark)
+    texts = {t or "" for _, t in SECRETS}
+    assert update_ledger(table(SECRETS), path) == len(texts)
+    assert update_ledger(table(SECRETS), path) == 0
+    got = sorted(((r[0], r[1]) for r in scan_secrets(table(SECRETS), path).select("doc_id", span_text(F.col("spans"))).collect()), key=repr)
+    assert got == sorted(((i, spans_by_hand(t or "")) for i, t in SECRETS), key=repr)
+    # A new version of a row is a new blob; the old ones are known.
+    more = [*SECRETS, (1, "token: abcdef123456")]
+    assert update_ledger(table(more), path) == 1
+    assert read_ledger(spark, path).count() == len(texts) + 1
+    # Of a changed rule only the new version is run, and it finds under its own name; the others' findings stay.
+    rules = RULES | {"hex": Rule(r"[0-9a-f]+", 0, 33, r"[0-9a-f]{33}", version=2)}
+    assert update_ledger(table(more), path, rules=rules) == len(texts) + 1
+    assert {tuple(r["rules"]) for r in read_ledger(spark, path).collect() if len(r["rules"]) == 1} == {("hex@2",)}
+    assert update_ledger(table(more), path, rules=rules) == 0
+    new = {(r[0], r[1]) for r in findings(table(more), path, rules=rules).select("doc_id", span_text(F.col("spans"))).collect()}
+    assert new == {(i, spans_by_hand(t or "", {"hex": 33})) for i, t in more}
+    # A run that appended twice changes nothing.
+    read_ledger(spark, path).where("size(spans) > 0").write.mode("append").parquet(path)
+    assert {(r[0], r[1]) for r in findings(table(more), path, rules=rules).select("doc_id", span_text(F.col("spans"))).collect()} == new
