@@ -1,20 +1,24 @@
 """Near-duplicate detection by DartMinHash.
 
-A document is the set of its runs of five words (or, with ``weighted``, the
-multiset). Every element throws hashed darts: a Poisson process of ranks, the
-same in every document, one strip for each unit of weight. Darts up to a rank at
-which a document expects ``k ln k + 3 k`` of them are thrown; each falls on one of
-``k`` coordinates, and the earliest on a coordinate is its value, so two documents
-agree on a coordinate with the probability of their (weighted) Jaccard
-similarity. Bands of coordinates are joined, and candidates are verified by the
-exact Jaccard similarity of their sets.
+A document is the multiset of its runs of five words, and a run's weight is how
+often it occurs (with ``weighted`` off, the set). Darts are thrown into regions of
+(element, weight, rank): each element has strips of weight [0, 1), [1, 2), [2, 4),
+[4, 8) and so on, in each of which the same Poisson process of hashed darts falls
+in every document; an element of weight w has those below w. A strip's width is
+its rate, so the cost follows the darts that count and the logarithm of a weight,
+not the weight. Darts up to a rank at which a document expects ``k ln k + 3 k`` of
+them are thrown; each falls on one of ``k`` coordinates, and the earliest on a
+coordinate is its value, so two documents agree on a coordinate with the
+probability of their weighted Jaccard similarity (shared over all occurrences).
+Bands of coordinates are joined, and candidates are verified by the
+exact similarity.
 
 With 30 bands of 5 a pair of similarity 0.8 misses every band with probability
 7e-6.
 
 Links are found without pairing all members of a bucket:
 
-* documents with equal sets are one node, however many copies there are
+* documents with equal multisets are one node, however many copies there are
 * in each bucket every node is compared with one leader; components follow
 * where a bucket still spans several components, nodes of other components are
   compared with a further leader (``rounds`` times)
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import dealt_anew, staged, text_of
+from .common import column, dealt_anew, settle, staged, text_of
 from .components import components
 from .words import hashed_words, lists, mix, pieces_of, plain_text, shingles, sorted_unique
 
@@ -50,12 +54,14 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 def signatures(elements: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     """[document, coordinate] values of the documents whose elements are ``elements[at[i]:at[i+1]]`` with weights over 0. Empty documents get zeros."""
     n_docs = len(at) - 1
-    strips = np.ceil(weights).astype(np.int64)
+    strips = 1 + np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
     element = np.repeat(np.arange(len(elements)), strips)
     nth = np.arange(len(element)) - np.repeat(np.cumsum(strips) - strips, strips)
     with np.errstate(over="ignore"):
         seed = mix(elements[element] + _GOLD * nth.astype(np.uint64))
-    part = np.minimum(weights[element] - nth, 1.0)  # how much of its strip the element covers
+    low = np.where(nth == 0, 0.0, 2.0 ** (nth - 1))
+    width = np.where(nth == 0, 1.0, low)
+    part = np.minimum(weights[element] - low, width)  # how much of its strip the element covers
     doc = np.repeat(np.repeat(np.arange(n_docs), np.diff(at)), strips)
     total = np.maximum(np.bincount(doc, part, n_docs), 1e-12)
     reach = (k * np.log(k) + 3 * k) / total
@@ -63,16 +69,16 @@ def signatures(elements: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int
     value = np.zeros(n_docs * k, np.uint64)
     live = np.arange(len(element))
     while len(live):
-        s, d, c, top = seed[live], doc[live], part[live], reach[doc[live]]
+        s, d, c, r, top = seed[live], doc[live], (part / width)[live], width[live], reach[doc[live]]
         state = s
         rank = np.zeros(len(live))
         ranks, cells, values = [], [], []
         while len(s):
             with np.errstate(over="ignore"):
                 state = mix(state + _GOLD)
-            rank = rank - np.log(_uniform(state))
+            rank = rank - np.log(_uniform(state)) / r
             on = rank <= top
-            s, d, c, top, state, rank = s[on], d[on], c[on], top[on], state[on], rank[on]
+            s, d, c, r, top, state, rank = s[on], d[on], c[on], r[on], top[on], state[on], rank[on]
             dart = mix(state ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             inside = (c >= 1) | (_uniform(mix(dart + np.uint64(1))) <= c)
             ranks.append(rank[inside])
@@ -98,17 +104,25 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _occurrences(runs: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every occurrence of a run as an element of its own (the first, the second ...), so that multisets are compared as sets."""
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        values = np.where(nth == 0, np.repeat(runs, counts), mix(np.repeat(runs, counts) + _GOLD * nth.astype(np.uint64)))
+    return values, np.concatenate([[0], np.cumsum(counts)])[at]
+
+
 def _sketch(bands: int, rows: int, n: int, weighted: bool):
     def run(batches):
         seen: set[int] = set()
         for b in pieces_of(batches, "_text", 1 << 20):
-            values, at, counts = sorted_unique(*shingles(*hashed_words(b.column("_text")), n))
+            runs, runs_at, counts = sorted_unique(*shingles(*hashed_words(b.column("_text")), n))
+            values, at = (_occurrences(runs, runs_at, counts)) if weighted else (runs, runs_at)
             size = np.diff(at)
-            weights = counts.astype(float) if weighted else np.ones(len(values))
-            ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values * _GOLD + (counts.astype(np.uint64) if weighted else np.uint64(0))), dtype=np.uint64)])
             with np.errstate(over="ignore"):
+                ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values * _GOLD), dtype=np.uint64)])
                 key = mix(ends[at[1:]] - ends[at[:-1]] + size.astype(np.uint64)).view(np.int64)
-            # A task sends a set once; that of a copy is null.
+            # A task sends a set once, and that of a copy is null. It remembers a bounded number of sets; a copy of one that it no longer knows is sent again, and made one below.
             new = np.zeros(len(key), bool)
             for i in np.flatnonzero(size > 0):
                 if key[i] not in seen:
@@ -118,7 +132,9 @@ def _sketch(bands: int, rows: int, n: int, weighted: bool):
             take = np.repeat(new, size)
             some_at = np.concatenate([[0], np.cumsum(size[new])])
             sets = lists((values[take] >> np.uint64(32)).astype(np.uint32).view(np.int32), some_at, pa.int32())
-            keys = band_keys(signatures(values[take], weights[take], some_at, bands * rows), bands, rows)
+            own = np.repeat(new, np.diff(runs_at))
+            weights = counts[own].astype(float) if weighted else np.ones(int(own.sum()))
+            keys = band_keys(signatures(runs[own], weights, np.concatenate([[0], np.cumsum(np.diff(runs_at)[new])]), bands * rows), bands, rows)
             buckets = lists(keys.ravel().view(np.int64), np.arange(len(keys) + 1) * bands, pa.int64())
             parity = np.zeros(len(some_at[:-1]) * PARITY_WORDS, np.uint64)
             spread = mix(values[take] + np.uint64(77))
@@ -131,25 +147,28 @@ def _sketch(bands: int, rows: int, n: int, weighted: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = BANDS, rows_per_band: int = ROWS, rounds: int = 2, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = BANDS, rows_per_band: int = ROWS, rounds: int = 2, weighted: bool = True) -> DataFrame:
     """One row per input row: ``id_col, class_id, class_size, kept, _row``.
 
-    A class is a connected component of links, a link two texts whose sets have a
-    Jaccard similarity of ``threshold`` or more. ``class_id`` is its smallest id.
+    A class is a connected component of links, a link two texts whose multisets
+    have a Jaccard similarity of ``threshold`` or more: the runs that both have,
+    each as often as in the one that has it less, over each as often as in the one
+    that has it more. ``class_id`` is its smallest id.
 
     * texts of one to four words have one run, all of it; texts without a word
       (null and empty too) are copies of each other
     * null ids come after all others; a class of null ids only has a null
       ``class_id`` and keeps them; rows that repeat an id and a text share a decision
-    * ``_row`` is a hash of the text, to tell rows that repeat an id apart
-    * an empty table gives an empty result
+    * ``_row`` is a hash of the text, to tell rows that repeat an id apart; of a
+      class's rows with the smallest id, that with the smallest hash is kept
+    * an empty table gives an empty result; other columns, of any name, are ignored
 
-    Sets hold 32 bits of a run's hash, and a node is 64 bits of its set's.
-    ``weighted`` sketches by multiplicity; verification is by sets all the same.
+    Sets hold 32 bits of a run's hash, and a node is 64 bits of its set's. With
+    ``weighted`` off, texts are sets.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.select(column(id_col)).schema[0].dataType.simpleString()
     rows = staged(
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"), plain_text(text_col).alias("_text")).transform(
+        docs.select(column(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"), plain_text(text_col).alias("_text")).transform(
             map_arrow, _sketch(bands, rows_per_band, shingle, weighted), f"_id {id_type}, _row long, _k long, _n int, _set array<int>, _buckets array<long>, _map array<long>"
         ),
         "sketches",
@@ -203,15 +222,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if roots is None or not fresh.where(F.col("j") >= threshold).isEmpty():
             roots = components(checked.where(F.col("j") >= threshold).select("a", "b"))
     if roots is None:
-        roots = docs.sparkSession.createDataFrame([], "node long, root long")
+        roots = docs.sparkSession.sql("SELECT 0L AS node, 0L AS root WHERE false")
     named = rows.select("_id", "_row", "_k").join(roots, F.col("_k") == F.col("node"), "left").select("_id", "_row", F.coalesce("root", "_k").alias("_class"))
     named = staged(named, "classes")
-    sizes = named.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count("*").alias("class_size")).select(dealt_anew("_class").alias("_c"), "class_id", "class_size")
-    return named.join(sizes, named["_class"] == sizes["_c"]).select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), "_row")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    sizes = named.groupBy("_class").agg(first.alias("first"), F.count("*").alias("class_size")).select(dealt_anew("_class").alias("_c"), "first", "class_size")
+    kept = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_row") == F.col("first.row"))
+    return named.join(sizes, named["_class"] == sizes["_c"]).select(F.col("_id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", kept.alias("kept"), "_row")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
-    """``docs``, all its columns, with one document (the smallest id) of each class."""
-    gone = near_duplicates(docs, id_col, text_col, threshold, **options).where("NOT kept").select(F.col(id_col).alias("_gone"), F.col("_row").alias("_gone_row")).distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64(text_of(text_col)))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(F.col("_gone")) & (F.col("_row_key") == F.col("_gone_row")), "left_anti").drop("_row_key")
+    """``docs``, all its columns, with one row of each class: that with the smallest id (and of several rows with it, the one with the smallest hash of its text).
+
+    * texts without a word, null and empty ones too, are one class
+    * null ids come after all others; of rows that repeat the id and text that stays, one stays
+    * an empty table gives an empty result; other columns may have any name
+    """
+    found = near_duplicates(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), threshold=threshold, **options)
+    marks = found.where("class_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.min(~F.col("kept")).alias("_drop"), F.count("*").alias("_n")).where("_drop OR _n > 1").drop("_n")
+    return settle(docs, id_col, F.xxhash64(text_of(text_col)), marks)
