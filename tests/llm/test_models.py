@@ -100,11 +100,13 @@ def test_suffix_dedup_at_cuts(table, monkeypatch):
 # Near duplicates
 
 
-def jaccard_classes(rows):
+def jaccard_classes(rows, weighted=True):
+    """Classes by the Jaccard similarity of multisets (or sets) of runs of five words."""
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\W_]+", (t or "").lower())
-        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+        runs = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+        sets.append(runs if weighted else Counter(set(runs)))
     root = list(range(len(rows)))
 
     def find(k):
@@ -113,8 +115,8 @@ def jaccard_classes(rows):
         return k
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        union = len(sets[a] | sets[b])
-        if not union or len(sets[a] & sets[b]) / union >= 0.8:
+        union = (sets[a] | sets[b]).total()
+        if not union or (sets[a] & sets[b]).total() / union >= 0.8:
             root[find(b)] = find(a)
     return [find(k) for k in range(len(rows))], sets
 
@@ -130,18 +132,23 @@ def near_rows():
                 copy[rng.randrange(len(copy))] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(copy)))
     rows += [(100, None), (101, ""), (102, "one two"), (103, "One  two!"), (104, "three"), (None, rows[0][1]), (105, rows[3][1]), (105, rows[3][1])]
+    # The same runs, but not as often; and two texts that differ in what a repeated part outweighs.
+    part, other = prose(rng, 30), prose(rng, 25)
+    rows += [(110, f"{part} " * 2), (111, f"{part} " * 5), (112, f"{part} " * 50 + other), (113, f"{part} " * 50 + prose(rng, 25))]
+    # Rows that share an id, and are near copies.
+    rows += [(114, rows[2][1] + " end"), (114, rows[2][1] + " stop")]
     return rows
 
 
 def test_near_duplicates(table):
     rows = near_rows()
-    classes, _ = jaccard_classes(rows)
-    want = {}
-    for (i, _), c in zip(rows, classes, strict=True):
-        want.setdefault(c, []).append(i)
-    expected = sorted((i, min((x for x in want[c] if x is not None), default=None), len(want[c])) for (i, _), c in zip(rows, classes, strict=True) if i is not None)
-    for rounds in (0, 2):
-        got = minhash.near_duplicates(table(rows), rounds=rounds).collect()
+    for rounds, weighted in ((0, False), (0, True), (2, True)):
+        classes, _ = jaccard_classes(rows, weighted)
+        want = {}
+        for (i, _), c in zip(rows, classes, strict=True):
+            want.setdefault(c, []).append(i)
+        expected = sorted((i, min((x for x in want[c] if x is not None), default=None), len(want[c])) for (i, _), c in zip(rows, classes, strict=True) if i is not None)
+        got = minhash.near_duplicates(table(rows), rounds=rounds, weighted=weighted).collect()
         assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got if r["doc_id"] is not None) == expected
     kept = minhash.drop_near_copies(table(rows).withColumn("class_id", F.lit(0)))
     assert kept.columns == [*table(rows).columns, "class_id"]
@@ -334,59 +341,72 @@ def test_contamination(spark, table):
 # Language models
 
 
-def test_lm_scores(table):
-    rng = random.Random(8)
-    rows = [(i, prose(rng, 40, WORDS[:12] if i % 2 else WORDS[8:])) for i in range(40)] + [(50, None), (51, ""), (None, "amber birch")]
-    got = {r["doc_id"]: r for r in lm_scores(table(rows), F.col("doc_id") % 2 == 1, vocab_size=16).collect()}
-    texts = [(i, (t or "").split()) for i, t in rows]
+def lm_by_hand(rows, is_target, vocab_size=None):
+    """(id, tokens, losses, difference) of each row by plain counting."""
+    texts = [(i, re.findall(r"[^\W_]+", (t or "").lower())) for i, t in rows]
     count = Counter(w for _, t in texts for w in t)
-    hashes = {w: int(hashed_words(pa.array([w]))[0].view(np.int64)[0]) for w in count}
-    vocab = set(sorted(count, key=lambda w: (-count[w], hashes[w]))[:15])
-    pairs = [Counter(), Counter()]
+    if vocab_size:
+        hashes = {w: int(hashed_words(pa.array([w]))[0].view(np.int64)[0]) for w in count}
+        vocab = set(sorted(count, key=lambda w: (-count[w], hashes[w]))[: vocab_size - 1])
+        texts = [(i, [w if w in vocab else 0 for w in t]) for i, t in texts]
+    size = vocab_size or len(count) + 1
+    models = []
+    for m in (True, False):
+        mine = [t for i, t in texts if is_target(i) == m]
+        models.append((Counter(p for t in mine for p in zip([None, *t][:-1], t, strict=True)), Counter(w for t in mine for w in t), Counter(w for t in mine for w in [None, *t][:-1] if t)))
+    tokens = [sum(m[1].values()) for m in models]
+    scale = [min((x for x in tokens if x), default=1) / max(n, 1) for n in tokens]
+    out = []
     for i, t in texts:
-        ids = [w if w in vocab else 0 for w in t]
-        pairs[0 if i is not None and i % 2 == 1 else 1].update(zip([None, *ids][:-1], ids, strict=True))
+        ce = []
+        for k, (pairs, words, contexts) in enumerate(models):
+            mine = is_target(i) == (k == 0)
+            own, own_context = Counter(zip([None, *t][:-1], t, strict=True)), Counter([None, *t][:-1])
+            loss = 0.0
+            for a, b in zip([None, *t][:-1], t, strict=True):
+                uni = (scale[k] * words[b] + 1) / (scale[k] * tokens[k] + size)
+                loss -= math.log((scale[k] * (pairs[a, b] - mine * own[a, b]) + 8 * uni) / (scale[k] * (contexts[a] - mine * own_context[a]) + 8))
+            ce.append(loss / max(1, len(t)))
+        out.append((i, len(t), *ce, ce[1] - ce[0]))
+    return sorted(out, key=repr)
 
-    def loss(model, a, b):
-        n = sum(model.values())
-        uni = (sum(v for (_, y), v in model.items() if y == b) + 1) / (n + 16)
-        return -math.log((model[a, b] + 8 * uni) / (sum(v for (x, _), v in model.items() if x == a) + 8))
 
-    for i, t in texts:
-        ids = [w if w in vocab else 0 for w in t]
-        want = [sum(loss(m, a, b) for a, b in zip([None, *ids][:-1], ids, strict=True)) / max(1, len(ids)) for m in pairs] if ids else [0, 0]
-        assert got[i]["n_tokens"] == len(ids)
-        assert got[i]["ce_target"] == pytest.approx(want[0], abs=1e-4) and got[i]["score"] == pytest.approx(want[1] - want[0], abs=1e-4)
+def same_scores(got, want):
+    got = sorted((tuple(r) for r in got), key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-4)
+
+
+def is_odd(i):
+    return i is not None and i % 2 == 1
+
+
+def test_lm_scores(table):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40, WORDS[:12] if i % 2 else WORDS[8:])) for i in range(40)] + [(50, None), (51, ""), (None, "amber birch")]
+    same_scores(lm_scores(table(rows), F.col("doc_id") % 2 == 1, vocab_size=16).collect(), lm_by_hand(rows, is_odd, 16))
+    same_scores(lm_scores(table(rows), F.lit(False)).collect(), lm_by_hand(rows, lambda i: False))
     assert lm_scores(table([]), F.lit(True), vocab_size=16).count() == 0
 
 
-@pytest.mark.parametrize("bucket_tokens", [10, 1 << 19])
+@pytest.mark.parametrize("bucket_tokens", [10, 60, 1 << 19])
 def test_lm_scores_count_every_word(table, bucket_tokens):
-    """More distinct words than any fixed table: each has counts of its own."""
+    """More distinct words than any fixed table: each has counts of its own, heavy or not."""
     rng = random.Random(18)
     names = [f"w{k}" for k in range(6000)]
     rows = [(i, " ".join([*names[i * 100 : i * 100 + 100], prose(rng, 30), prose(rng, 15, names[:40])])) for i in range(60)] + [(60, None), (61, "w1"), (None, "amber w7"), (7, "amber amber amber"), (63, "amber birch " * 400)]
-    got = sorted((tuple(r) for r in lm_scores(table(rows), F.col("doc_id") % 2 == 1, bucket_tokens=bucket_tokens).collect()), key=repr)
-    texts = [(i, (t or "").split()) for i, t in rows]
-    size = len({w for _, t in texts for w in t}) + 1
-    assert size > 6000
-    models = []
-    for m in (0, 1):
-        mine = [t for i, t in texts if (i is not None and i % 2 == 1) == (m == 0)]
-        models.append((Counter(p for t in mine for p in zip([None, *t][:-1], t, strict=True)), Counter(w for t in mine for w in t), Counter(w for t in mine for w in [None, *t][:-1] if t)))
+    same_scores(lm_scores(table(rows), F.col("doc_id") % 3 == 1, bucket_tokens=bucket_tokens).collect(), lm_by_hand(rows, lambda i: i is not None and i % 3 == 1))
 
-    def loss(model, a, b):
-        pairs, words, contexts = model
-        return -math.log((pairs[a, b] + 8 * (words[b] + 1) / (sum(words.values()) + size)) / (contexts[a] + 8))
 
-    want = []
-    for i, t in texts:
-        ce = [sum(loss(m, a, b) for a, b in zip([None, *t][:-1], t, strict=True)) / max(1, len(t)) for m in models]
-        want.append((i, len(t), *ce, ce[1] - ce[0]))
-    want.sort(key=repr)
-    assert len(got) == len(want)
-    for g, w in zip(got, want, strict=True):
-        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-4)
+def test_lm_scores_tell_copies_from_single_texts(table):
+    """A text is not known to a model by itself, but by another that is like it."""
+    rng = random.Random(28)
+    names = [f"v{k}" for k in range(900)]
+    rows = [(i, prose(rng, 40, names)) for i in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in (3, 8)]
+    got = {r["doc_id"]: r["ce_background"] for r in lm_scores(table(rows), F.col("doc_id") == 1).collect()}
+    assert max(got[i] for i in (3, 8, 103, 108)) < min(v for i, v in got.items() if i not in (3, 8, 103, 108))
 
 
 # Classifiers

@@ -2,9 +2,13 @@
 
 A target model and a background model, both bigram models with the same
 vocabulary and smoothing, are counted over all documents: rows of the target
-feed one, all other rows the other. A document's score is the mean over its
-tokens of the background's loss less the target's: higher is more like the
-target.
+feed one, all other rows the other. They are matched: the larger one's counts are
+scaled to as many tokens as the smaller one has, so a pair weighs against the
+smoothing alike in both and neither gains by its size. No document is scored by
+its own text: its pairs and their contexts are taken out of the model that it
+feeds. (Unigrams, which only smooth, are of all documents.) A document's score is
+the mean over its tokens of the background's loss less the target's: higher is
+more like the target.
 
 The vocabulary holds every word of the corpus. The counts are never in one place:
 
@@ -30,8 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import drop_table, staged
-from .suffix_dedup import _sweep
+from .common import column, drop_table, staged
 from .words import hashed_words, mix, pieces_of, plain_text
 
 #: What stands before a text's first token.
@@ -113,12 +116,22 @@ class _Counts:
     def is_heavy(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
         return _find(self.words, word)[1] & ((before == START) | _find(self.words, before)[1])
 
+    @property
+    def scale(self) -> np.ndarray:
+        """What each model's counts are multiplied by, to match the smaller one. A model without a token is uniform."""
+        return min((t for t in self.tokens if t > 0), default=1.0) / np.maximum(self.tokens, 1.0)
+
     def unigram(self, model: int, total: np.ndarray) -> np.ndarray:
-        return (total + DISCOUNT) / (self.tokens[model] + DISCOUNT * self.size)
+        r = self.scale[model]
+        return (r * total + DISCOUNT) / (r * self.tokens[model] + DISCOUNT * self.size)
+
+    def of_pairs(self, model: int, n: np.ndarray, pair: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Loss of a text's ``n`` tokens of a pair, but for its context; ``pair`` is without the text's own."""
+        return -n * np.log(self.scale[model] * pair + STRENGTH * self.unigram(model, total))
 
-    def share(self, model: int, n: np.ndarray, inner: np.ndarray, pair: np.ndarray, total: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Loss of a text's ``n`` tokens of a pair, but for its context's total, and with the word's own as a context of the next token (``inner`` times)."""
-        return inner * np.log(context + STRENGTH) - n * np.log(pair + STRENGTH * self.unigram(model, total))
+    def of_contexts(self, model: int, inner: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Loss of the ``inner`` tokens of a text that follow a word; ``context`` is without the text's own."""
+        return inner * np.log(self.scale[model] * context + STRENGTH)
 
 
 def _count(rows: DataFrame, vocab, vocab_size: int | None, bucket_tokens: int) -> _Counts:
@@ -164,7 +177,7 @@ def _deal(shared, kept):
     def run(batches):
         c: _Counts = shared.value
         for b in _pieces(batches):
-            word, before, last, row, target, n = _tokens(b, kept.value)
+            word, before, last, row, _, n = _tokens(b, kept.value)
             # Each text's distinct pairs; a text's last token differs from others of its pair only in a count.
             pair = _pair_hash(word, before)
             order = np.lexsort((pair, row))
@@ -172,31 +185,41 @@ def _deal(shared, kept):
             new[1:] = (pair[order][1:] != pair[order][:-1]) | (row[order][1:] != row[order][:-1])
             start = np.flatnonzero(new)
             times = np.diff(np.append(start, len(order)))
-            inner = times - (np.add.reduceat(last[order].astype(np.int64), start) if len(start) else times)
+            ends = np.add.reduceat(last[order].astype(np.int64), start) if len(start) else times
             first = order[start]
-            word, before, row, target, pair = word[first], before[first], row[first], target[first], pair[first]
+            word, before, row, pair = word[first], before[first], row[first], pair[first]
+            feeds = b.column("_target").to_numpy(zero_copy_only=False).astype(bool)
             place, heavy = _find(c.words, word)
             at, settled = _find(c.pair_keys, pair)
             settled &= heavy
+            # How often each text has each heavy word before another: what it has to take out of that context.
+            of_heavy = np.flatnonzero(heavy)
+            key, spot = np.unique(row[of_heavy] * max(1, len(c.words)) + place[of_heavy], return_inverse=True)
+            inner = np.bincount(spot, (times - ends)[of_heavy], len(key))
+            key_row, key_place = key // max(1, len(c.words)), key % max(1, len(c.words))
             known = []
             for m in (0, 1):
-                loss = c.share(m, times[settled], inner[settled], c.pairs[m][at[settled]], c.totals[m][place[settled]], c.contexts[m][place[settled]])
-                known.append(np.bincount(row[settled], loss, b.num_rows) + np.where(n > 0, np.log(c.texts[m] + STRENGTH), 0))
-            key, ids = int(b.column("_row")[0].as_py()), b.column("_id")
-            yield _packed(key, -1 - key % c.buckets, ids, n.astype(np.int64), *known)
+                own = feeds == (m == 0)
+                loss = c.of_pairs(m, times[settled], c.pairs[m][at[settled]] - times[settled] * own[row[settled]], c.totals[m][place[settled]])
+                context = c.of_contexts(m, inner, c.contexts[m][key_place] - inner * own[key_row])
+                begin = np.where(n > 0, np.log(c.scale[m] * (c.texts[m] - own) + STRENGTH), 0)
+                known.append(np.bincount(row[settled], loss, b.num_rows) + np.bincount(key_row, context, b.num_rows) + begin)
+            piece, ids = int(b.column("_row")[0].as_py()), b.column("_id")
+            yield _packed(piece, -1 - piece % c.buckets, ids, n.astype(np.int64), *known)
             left = np.flatnonzero(~settled)
             bucket = (mix(np.where(heavy[left], pair[left], word[left])) % np.uint64(c.buckets)).astype(np.int64)
             order = np.lexsort((before[left], word[left], bucket))
             left, bucket = left[order], bucket[order]
+            flags = (feeds[row] + 2 * (ends > 0)).astype(np.uint8)  # a text has one last token
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 k = left[i:j]
-                yield _packed(key, int(bucket[i]), ids[:0], word[k], before[k], row[k].astype(np.uint16), times[k].astype(np.uint32), inner[k].astype(np.uint32), target[k])
+                yield _packed(piece, int(bucket[i]), ids[:0], word[k], before[k], row[k].astype(np.uint16), times[k].astype(np.uint32), flags[k])
 
     return run
 
 
-_BLOCKS = [f"c{k}" for k in range(6)]
+_BLOCKS = [f"c{k}" for k in range(5)]
 
 
 def _packed(piece: int, bucket: int, ids: pa.Array, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -217,10 +240,12 @@ def _settle(shared):
         if table.column("bucket")[0].as_py() < 0:
             return table
         none = table.column("ids").chunk(0).values[:0]
-        parts = [_of(table, f"c{k}", kind) for k, kind in enumerate((np.uint64, np.uint64, np.uint16, np.uint32, np.uint32, bool))]
+        parts = [_of(table, f"c{k}", kind) for k, kind in enumerate((np.uint64, np.uint64, np.uint16, np.uint32, np.uint8))]
         sizes = [len(x) for x in parts[0]]
-        word, before, row, times, inner, target = (np.concatenate(p) for p in parts)
-        order = np.lexsort((before, word))
+        word, before, row, times, flags = (np.concatenate(p) for p in parts)
+        times, target, ends = times.astype(np.int64), (flags & 1) == 1, (flags >> 1).astype(np.int64)
+        text = np.repeat(np.arange(len(sizes)), sizes) * (1 << 16) + row
+        order = np.lexsort((text, before, word))
         w, p = word[order], before[order]
         new_word = np.ones(len(w), bool)
         new_word[1:] = w[1:] != w[:-1]
@@ -228,20 +253,29 @@ def _settle(shared):
         new_pair[1:] |= p[1:] != p[:-1]
         of_word, of_pair = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
         of_word[order], of_pair[order] = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
-        # Other parts of a heavy word are elsewhere.
+        # Other parts of a heavy word are elsewhere; what follows it was settled where its text is.
         place, heavy = _find(c.words, w[new_word])
-        losses = []
+        light = ~heavy[of_word]
+        # How often each text has each light word before another.
+        own_key, own_spot = np.unique(np.stack([of_word[light], text[light]]), axis=1, return_inverse=True)
+        inner = np.bincount(own_spot.ravel(), (times - ends)[light], own_key.shape[1])
+        feeds = np.zeros(own_key.shape[1], bool)
+        feeds[own_spot.ravel()] = target[light]
+        spots, losses = np.concatenate([text, own_key[1]]), []
         for m in (0, 1):
             own = target == (m == 0)
-            pair, total, context = np.bincount(of_pair, times * own), np.bincount(of_word, times * own), np.bincount(of_word, inner * own)
-            total[heavy], context[heavy] = c.totals[m][place[heavy]], c.contexts[m][place[heavy]]
-            losses.append(c.share(m, times, inner, pair[of_pair], total[of_word], context[of_word]))
-        out, at = [], 0
-        for piece, n in zip(table.column("piece").to_pylist(), sizes, strict=True):
-            here = slice(at, at + n)
-            rows, place = np.unique(row[here], return_inverse=True)
+            pair, total, context = np.bincount(of_pair, times * own), np.bincount(of_word, times * own), np.bincount(of_word, (times - ends) * own)
+            total[heavy] = c.totals[m][place[heavy]]
+            of_texts = c.of_contexts(m, inner, context[own_key[0]] - inner * (feeds == (m == 0)))
+            losses.append(np.concatenate([c.of_pairs(m, times, pair[of_pair] - times * own, total[of_word]), of_texts]))
+        order = np.argsort(spots >> 16, kind="stable")
+        spots, losses = spots[order], [x[order] for x in losses]
+        ends_at = np.searchsorted(spots >> 16, np.arange(len(sizes) + 1))
+        out = []
+        for k, piece in enumerate(table.column("piece").to_pylist()):
+            here = slice(ends_at[k], ends_at[k + 1])
+            rows, place = np.unique((spots[here] & 0xFFFF).astype(np.uint16), return_inverse=True)
             out.append(_packed(piece, 0, none, rows, *[np.bincount(place, x[here]).astype(np.float32) for x in losses]))
-            at += n
         return pa.Table.from_batches(out)
 
     return run
@@ -273,18 +307,17 @@ def lm_scores(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_c
     for all others; without it every word counts.
 
     * null and empty texts, and texts without a word: 0 tokens, all figures 0
-    * a null ``is_target`` counts as false; null ids are scored like others
+    * a null ``is_target`` counts as false; null and repeated ids are scored like others
     * without target rows (or others) that model is uniform; an empty table gives an empty result
+    * other columns, of any name, are ignored
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("_id"), plain_text(text_col).alias("_text"), F.coalesce(is_target, F.lit(False)).alias("_target"))
+    rows = docs.select(column(id_col).alias("_id"), plain_text(text_col).alias("_text"), F.coalesce(is_target, F.lit(False)).alias("_target"))
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    _sweep(docs)
     vocab = _vocabulary(rows, vocab_size) if vocab_size else None
     counts = _count(rows, vocab, vocab_size, bucket_tokens)
-    _sweep(docs)
     shared, kept = context.broadcast(counts), context.broadcast(vocab)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.select(column(id_col)).schema[0].dataType.simpleString()
     blocks = f"piece long, bucket int, ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in _BLOCKS)
     settled = rows.transform(map_arrow, _deal(shared, kept), blocks).groupBy("bucket").applyInArrow(_settle(shared), blocks)
     return settled.groupBy("piece").applyInArrow(_gather(id_col), f"`{id_col}` {id_type}, n_tokens long, ce_target double, ce_background double, score double")
