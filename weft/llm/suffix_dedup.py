@@ -16,17 +16,18 @@ only sampled suffixes are sorted and the others are induced from them:
    the orders one byte further left, and so on: suffixes with the same byte in
    front keep their order, their common prefixes grow by one. A window is
    repeated if a neighbour's common prefix reaches ``length``.
-4. A gram with more than ``most`` contexts is no group for one task: its windows
-   are halved by where they start, each half keyed by the longer string that its
-   windows share, until the groups are small or a key is a whole window, which a
-   count settles.
+4. A task's memory holds one group of at most ``most`` contexts. The windows of a
+   larger one are halved by where they start, each half keyed by the longer string
+   that its windows share, until the groups fit or a key is a whole window, which
+   a count settles. No group is too large, and results don't depend on ``most``.
 
 Texts, anchors and contexts stay in tables; nothing but counts reaches the driver.
+Two hashes name a text (96 bits together), a context (with its gram, 128) and a
+half (96), so that chance equalities are not expected in a corpus of any size.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import dealt_anew, drop_table, staged, text_of
+from .common import column, dealt_anew, drop_table, staged, text_of
 from .words import mix, pieces_of, raw_bytes
 
 GRAM = 32
@@ -94,18 +95,18 @@ def _anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _find_anchors(length: int):
-    names = ["key", "place", "left", "right", "gram", "context"]
+    names = ["key", "key2", "place", "left", "right", "gram", "context"]
 
-    def out(key, found):
+    def out(b, found):
         text, place, left, right, gram, context = found
-        ints = [pa.array(place, pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))]
-        return pa.RecordBatch.from_arrays([key.take(pa.array(text)), *ints], names)
+        ints = [pa.array(place, pa.int32()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))]
+        return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(text)) for c in ("key", "key2")], *ints], names)
 
     def run(batches):
         for b in pieces_of(batches, "bytes", SEGMENT):
             data, at = raw_bytes(b.column("bytes"))
             if len(data) <= 2 * SEGMENT:
-                yield out(b.column("key"), _anchors(data, at, length))
+                yield out(b, _anchors(data, at, length))
                 continue
             # One long text: segments, with all that windows starting in them can see.
             for cut in range(0, len(data), SEGMENT):
@@ -114,7 +115,7 @@ def _find_anchors(length: int):
                 place = place + low
                 # Neighbours see these anchors too; each is emitted by the segment that its place is in, which holds its whole context.
                 own = (place >= cut) & (place < cut + SEGMENT)
-                yield out(b.column("key"), (text[own], place[own], left[own], right[own], gram[own], context[own]))
+                yield out(b, (text[own], place[own], left[own], right[own], gram[own], context[own]))
 
     return run
 
@@ -219,7 +220,7 @@ def _induce_shard(length: int, batch_rows: int = 8192):
         parts = [_covered(repeated[k : k + batch_rows], length) for k in range(0, len(repeated), batch_rows)]
         row = np.concatenate([p[0] + k * batch_rows for k, p in enumerate(parts)])
         begin, end = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
-        return pa.RecordBatch.from_arrays([col["context"].take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["context", "begin", "end"])
+        return pa.RecordBatch.from_arrays([*[col[c].take(pa.array(row)) for c in ("context", "gram")], pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["context", "gram", "begin", "end"])
 
     def run(batches):
         held, n = [], 0
@@ -240,70 +241,69 @@ def _induce_shard(length: int, batch_rows: int = 8192):
     return run
 
 
-def _sweep(df: DataFrame) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are done."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+#: Names of a text.
+KEYS = ["key", "key2"]
 
 
-def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, most: int = 65536) -> DataFrame:
-    """``key, runs``: for texts (named by a 64-bit hash) with repeated strings, the array of ``begin, end`` that cover them."""
-    texts = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("bytes"))
-    anchors = staged(texts.where(F.octet_length("bytes") >= length).transform(map_arrow, _find_anchors(length), "key long, place long, left int, right int, gram long, context long"), "anchors")
-    contexts = anchors.groupBy("context", "gram").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.min_by("left", "key").alias("left"), F.min_by("right", "key").alias("right"))
-    contexts = staged(contexts, "contexts")
-    _sweep(docs)
+def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
+    return docs.select(*more, F.xxhash64(text_of(text_col)).alias("key"), F.hash(text_of(text_col)).alias("key2"), text_of(text_col).cast("binary").alias("bytes"))
+
+
+def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
+    """``key, key2, runs``: for texts (named by two hashes) with repeated strings, the array of ``begin, end`` that cover them."""
+    texts = _keyed(docs, text_col)
+    anchors = staged(texts.where(F.octet_length("bytes") >= length).transform(map_arrow, _find_anchors(length), "key long, key2 int, place int, left int, right int, gram long, context long"), "anchors")
+    # All of these take the values of one row of a context, any of them.
+    contexts = staged(anchors.groupBy("context", "gram").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*KEYS, "place", "left", "right")]), "contexts")
     open_ = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select(dealt_anew("gram").alias("g"))
-    whole = contexts.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("context", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
+    whole = contexts.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("context", "gram", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
     whole = staged(whole, "whole")
-    wanted = contexts.join(open_, contexts["gram"] == open_["g"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted")).select(F.col("key").alias("k"), "wanted")
+    wanted = contexts.join(open_, contexts["gram"] == open_["g"], "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct("context", "gram", "place", "left", "right")).alias("wanted")).select(F.col("key").alias("k"), F.col("key2").alias("k2"), "wanted")
     wanted = staged(wanted, "wanted")
     drop_table(contexts)
-    _sweep(docs)
     # Copies of a text hash alike; the first of them that a task meets will do, as contexts are made distinct below.
-    cut = texts.join(wanted, texts["key"] == wanted["k"]).select("bytes", "wanted").transform(map_arrow, _cut_contexts, "context long, gram long, left int, right int, bytes binary")
-    pieces = staged(cut.dropDuplicates(["context"]), "pieces")
+    cut = texts.join(wanted, (texts["key"] == wanted["k"]) & (texts["key2"] == wanted["k2"])).select("bytes", "wanted").transform(map_arrow, _cut_contexts, "context long, gram long, left int, right int, bytes binary")
+    pieces = staged(cut.dropDuplicates(["context", "gram"]), "pieces")
     drop_table(wanted)
-    _sweep(docs)
-    entries = pieces.select("*", F.col("gram").alias("group"), F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
+    done = [anchors, whole, pieces]
+    entries = pieces.select("*", F.col("gram").alias("group"), F.lit(0).alias("group2"), F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
     small, settled = [], []
     while True:
-        sizes = staged(entries.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select(dealt_anew("group").alias("g"), "members"), "sizes")
+        sizes = staged(entries.groupBy("group", "group2").agg(F.count("*").alias("members")).where("members > 1").select(dealt_anew("group").alias("g"), dealt_anew("group2").alias("g2"), "members"), "sizes")
+        done.append(sizes)
         big = sizes.where(F.col("members") > most)
-        of_group = F.col("group") == F.col("g")
+        of_group = (F.col("group") == F.col("g")) & (F.col("group2") == F.col("g2"))
         inner, leaf = entries.where("low < high"), entries.where("low = high")
-        settled.append(leaf.join(sizes, of_group, "left_semi").select("context", (-F.col("low")).alias("begin"), (F.lit(length) - F.col("low")).alias("end")))
+        settled.append(leaf.join(sizes, of_group, "left_semi").select("context", "gram", (-F.col("low")).alias("begin"), (F.lit(length) - F.col("low")).alias("end")))
         if big.isEmpty():
             small.append(inner)
             break
         small.append(inner.join(big, of_group, "left_anti"))
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+        common = F.expr(f"substring(bytes, left - low + 1, low + {length} - high)")
         split = (
             inner.join(big, of_group, "left_semi")
             .select("context", "gram", "left", "right", "bytes", F.explode(halves).alias("half"))
             .select("context", "gram", "left", "right", "bytes", F.col("half.low").alias("low"), F.col("half.high").alias("high"))
             # Windows from high to low bytes before the anchor share what lies between; a context without such a window goes.
             .where((F.least("high", "left") >= F.greatest("low", F.lit(length) - F.col("right"))))
-            .withColumn("group", F.xxhash64("low", "high", F.expr(f"substring(bytes, left - low + 1, low + {length} - high)")))
+            .withColumns({"group": F.xxhash64("low", "high", common), "group2": F.hash("low", "high", common)})
         )
         entries = staged(split, "halves")
-        _sweep(docs)
+        done.append(entries)
     shards = small[0]
     for s in small[1:]:
         shards = shards.unionByName(s)
-    shards = shards.repartition("group").withColumn("suffix", F.expr("substring(bytes, left - low + 1)")).sortWithinPartitions("group", "suffix").select("context", "group", "low", "high", "left", "bytes")
-    induced = shards.transform(map_arrow, _induce_shard(length), "context long, begin int, end int")
+    shards = shards.repartition("group").withColumn("suffix", F.expr("substring(bytes, left - low + 1)")).sortWithinPartitions("group", "suffix").select("context", "gram", "group", "low", "high", "left", "bytes")
+    induced = shards.transform(map_arrow, _induce_shard(length), "context long, gram long, begin int, end int")
     for s in settled:
         induced = induced.unionByName(s)
     covered = staged(induced.unionByName(whole), "covered")
-    drop_table(pieces)
-    _sweep(docs)
-    runs = anchors.select("key", "place", "context").join(covered, "context").groupBy("key").agg(F.collect_set(F.struct((F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))).alias("runs"))
-    runs = staged(runs, "runs")
-    for done in (anchors, covered, whole):
-        drop_table(done)
-    _sweep(docs)
+    found = anchors.select(*KEYS, "place", "context", "gram").join(covered, ["context", "gram"])
+    runs = staged(found.groupBy(*KEYS).agg(F.collect_set(F.struct((F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))).alias("runs")), "runs")
+    for table in (*done, covered):
+        drop_table(table)
     return runs
 
 
@@ -333,7 +333,7 @@ def _strip(names: list[str]):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 65536) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row.
 
     ``kept`` is what is left, as bytes: a cut may fall into a character.
@@ -342,9 +342,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * a text that occurs twice loses all of it, in every row
     * null ids and rows that repeat an id are rows like others; an empty table
       gives an empty result
+    * other columns, of any name, are ignored
     """
     runs = repeated_runs(docs, text_col, length, most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("bytes")).join(runs, "key", "left")
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = _keyed(docs, text_col, column(id_col).alias("_id")).join(runs, KEYS, "left")
+    kind = docs.select(column(id_col)).schema[0].dataType.simpleString()
     out = rows.select("_id", "bytes", "runs").transform(map_arrow, _strip(["_id"]), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("_id", id_col)
