@@ -41,7 +41,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     return toxicity_scores(docs, train_toxicity(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 

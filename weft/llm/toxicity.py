@@ -13,8 +13,13 @@ presence depends on the label among them (likelihood ratio, against twice the lo
 of the number of words, which hardly a word exceeds by chance), but none weighs
 nothing. idf comes from all documents.
 
-Whole batches take another way to the same cosines: words in many examples are a
-dense matrix, and only the others' postings are gathered.
+Batches of documents go through the index together. A rare word has few postings,
+which are gathered at once, so its part of the cosines is exact from the start; a
+common word's postings are cut into blocks, as matrices. A block's bound for a
+document is the common words' largest weights in it plus the largest of the exact
+parts. The blocks of largest bound are opened first; what they hold sets the floor
+under which no other block is opened. Examples are dealt to blocks by what they
+have in common, which makes bounds tight.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
+from .common import column
 from .linear import platt, sigmoid
 from .words import hashed_words, pieces_of, plain_text, sorted_unique
 
@@ -32,7 +38,7 @@ BLOCK = 64
 #: Words in more than this part of the examples are common.
 COMMON = 16
 #: Vectors whose postings are gathered at once; memory follows it.
-BATCH = 32
+BATCH = 64
 
 
 def _gather(low: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -65,6 +71,9 @@ class BlockMaxIndex:
         post = _gather(self.post_at[common], n[common])
         self.dense = np.zeros((len(common), self.size))
         self.dense[np.repeat(np.arange(len(common)), n[common]), example[post]] = weight[post]
+        starts = np.arange(0, self.size, BLOCK)
+        self.dense_max = np.maximum.reduceat(self.dense, starts, axis=1) if self.size and len(common) else np.zeros((len(common), len(starts)))
+        self.blocks = [np.ascontiguousarray(self.dense[:, low : low + BLOCK]) for low in starts]
 
     def _cut_blocks(self) -> None:
         """Entries of words and blocks with their largest weights."""
@@ -104,16 +113,7 @@ class BlockMaxIndex:
             if not self.size:
                 out += [(np.zeros(0, np.int64), np.zeros(0))] * len(some)
                 continue
-            terms, weights = (np.concatenate([v[c] for v in some]) for c in (0, 1))
-            row = np.repeat(np.arange(len(some)), [len(v[0]) for v in some])
-            dense = self.dense_place[terms]
-            queries = np.zeros((len(some), len(self.dense)))
-            queries[row[dense >= 0], dense[dense >= 0]] = weights[dense >= 0]
-            terms, weights, row = terms[dense < 0], weights[dense < 0], row[dense < 0]
-            n = self.post_at[terms + 1] - self.post_at[terms]
-            post = _gather(self.post_at[terms], n)
-            cosines = queries @ self.dense
-            cosines += np.bincount(np.repeat(row, n) * self.size + self.example[post], np.repeat(weights, n) * self.weight[post], len(some) * self.size).reshape(len(some), self.size)
+            cosines = self._cosines(some, k)
             for cosine in cosines:
                 floor = np.partition(cosine, self.size - k)[self.size - k] if self.size > k else 0.0
                 found = np.flatnonzero((cosine > 0) & (cosine >= floor))
@@ -121,6 +121,39 @@ class BlockMaxIndex:
                 out.append((order, cosine[order]))
         return out
 
+    def _cosines(self, some: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+        """[vector, example] cosines, exact wherever they may be among the ``k`` largest and less elsewhere."""
+        terms, weights = (np.concatenate([v[c] for v in some]) for c in (0, 1))
+        row = np.repeat(np.arange(len(some)), [len(v[0]) for v in some])
+        dense = self.dense_place[terms]
+        queries = np.zeros((len(some), len(self.dense)))
+        queries[row[dense >= 0], dense[dense >= 0]] = weights[dense >= 0]
+        terms, weights, row = terms[dense < 0], weights[dense < 0], row[dense < 0]
+        n = self.post_at[terms + 1] - self.post_at[terms]
+        post = _gather(self.post_at[terms], n)
+        exact = np.bincount(np.repeat(row, n) * self.size + self.example[post], np.repeat(weights, n) * self.weight[post], len(some) * self.size).reshape(len(some), self.size).astype(np.float64)
+        if not len(self.dense):
+            return exact
+        starts = np.arange(0, self.size, BLOCK)
+        bound = queries @ self.dense_max + np.maximum.reduceat(exact, starts, axis=1)
+        opened = np.zeros(bound.shape, bool)
+        first = max(2, -(-2 * k // BLOCK))
+        chosen = np.zeros(bound.shape, bool)
+        np.put_along_axis(chosen, np.argpartition(-bound, min(first, bound.shape[1]) - 1, axis=1)[:, :first], True, axis=1)
+        for _ in range(2):
+            for b in np.flatnonzero((chosen & ~opened).any(0)):
+                who = np.flatnonzero(chosen[:, b] & ~opened[:, b])
+                here = slice(starts[b], min(starts[b] + BLOCK, self.size))
+                exact[who, here] += queries[who] @ self.blocks[b]
+            opened |= chosen
+            if self.size > k:
+                # Unopened examples count with less than their cosine, so the k-th largest so far is a true floor.
+                floor = np.partition(exact, self.size - k, axis=1)[:, self.size - k]
+                chosen = bound >= floor[:, None] - 1e-9
+            else:
+                chosen = np.ones(bound.shape, bool)
+        return exact
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine (ties: first example), and their cosines. Exact."""
         if self.entry_low is None:
@@ -150,6 +183,25 @@ class BlockMaxIndex:
         return order, cosine[order]
 
 
+def by_likeness(vectors: np.ndarray) -> np.ndarray:
+    """An order of the rows in which those of a block are alike: halved again and again along the direction of largest spread."""
+    order, todo = [], [np.arange(len(vectors))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            order.append(part)
+            continue
+        x = vectors[part] - vectors[part].mean(0)
+        way = x[np.argmax((x * x).sum(1))]
+        for _ in range(8):
+            way = x.T @ (x @ way)
+            way = way / max(1e-12, np.sqrt(way @ way))
+        part = part[np.lexsort((part, x @ way))]
+        cut = max(1, len(part) // (2 * BLOCK)) * BLOCK
+        todo += [part[cut:], part[:cut]]
+    return np.concatenate(order) if order else np.zeros(0, np.int64)
+
+
 class Model:
     """Index, labels of its examples, and the calibration."""
 
@@ -187,14 +239,14 @@ def _word_lists(batches):
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 6000, k: int = 32) -> Model:
     """Index the examples. ``labels`` has only rows that may be learned from; null ids, null labels and ids with differing labels are not used."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.min(label_col).cast("int").alias("_y"), F.max(label_col).cast("int").alias("_y2")).where("_y = _y2")
+    known = labels.where(column(id_col).isNotNull() & column(label_col).isNotNull()).groupBy(column(id_col).alias("_key")).agg(F.min(label_col).cast("int").alias("_y"), F.max(label_col).cast("int").alias("_y2")).where("_y = _y2")
     sizes = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
     # Never more than the two bounds, so it is broadcast and collected.
     sample = picked[0].unionByName(picked[1]).select("_key", "_y")
     y_of = {r[0]: r[1] for r in sample.collect()}
-    key_type = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("_key"), plain_text(text_col).alias("_text"))
+    key_type = docs.select(column(id_col)).schema[0].dataType.simpleString()
+    keyed = docs.select(column(id_col).alias("_key"), plain_text(text_col).alias("_text"))
     ids = docs.sparkSession.createDataFrame([(x,) for x in y_of], f"_key {key_type}")
     table = keyed.join(F.broadcast(ids), "_key").transform(map_arrow, _word_lists, f"_key {key_type}, words array<long>, counts array<int>").toArrow()
     rows = sorted(((y_of[i], i, w.values.to_numpy().view(np.uint64), c.values.to_numpy()) for i, w, c in zip(table.column(0).to_pylist(), table.column(1), table.column(2), strict=True)), key=lambda r: (-r[0], r[1], len(r[2]))) if table.num_rows else []
@@ -228,7 +280,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
     idf *= (1 + ratio) / (1 + ratio + 2 * np.log(max(2, len(vocab))))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    model = Model(BlockMaxIndex(vocab, idf, [(r[2], r[3]) for r in rows]), [r[1] for r in rows], y, float(y.mean()) if rows else 0.0, k)
+    index = BlockMaxIndex(vocab, idf, [(r[2], r[3]) for r in rows])
+    order = by_likeness(index.dense.T)
+    rows, y = [rows[i] for i in order], y[order]
+    index = BlockMaxIndex(vocab, idf, [(r[2], r[3]) for r in rows])
+    model = Model(index, [r[1] for r in rows], y, float(y.mean()) if rows else 0.0, k)
     if 0 < y.sum() < len(y):
         margins = []
         for e, (near, cosine) in enumerate(n for low in range(0, len(rows), BATCH) for n in model.index.nearest_many([model.index.vector(r[2], r[3]) for r in rows[low : low + BATCH]], k + 1)):
@@ -248,10 +304,11 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     * null and empty texts, and texts without a word of the vocabulary, have no
       nearest examples and get the prior's calibrated score
     * null and repeated ids are scored like others; an empty table gives an empty result
+    * other columns, of any name, are ignored
     """
-    key_type = docs.schema[id_col].dataType.simpleString()
+    key_type = docs.select(column(id_col)).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_arrow = docs.select(id_col).limit(0).toArrow().schema.field(0).type
+    id_arrow = docs.select(column(id_col)).limit(0).toArrow().schema.field(0).type
 
     def score(batches):
         m = shared.value
@@ -271,5 +328,5 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), evidence], ["_key", "score", "predicted", "evidence"])
 
-    rows = docs.select(F.col(id_col).alias("_key"), plain_text(text_col).alias("_text"))
+    rows = docs.select(column(id_col).alias("_key"), plain_text(text_col).alias("_text"))
     return rows.transform(map_arrow, score, f"_key {key_type}, score double, predicted int, evidence array<struct<id:{key_type},cosine:double>>").withColumnRenamed("_key", id_col)
