@@ -74,7 +74,7 @@ def test_suffix_dedup_long_text(table, monkeypatch):
     find = suffix_dedup._find_anchors(200)
     rng = random.Random(5)
     text = "".join(rng.choice("abcd") for _ in range(7000)).encode()
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.binary())], ["key", "bytes"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text], pa.binary())], ["key", "key2", "bytes"])
     places = {(p, g, c) for b in find([batch]) for p, g, c in zip(b["place"].to_pylist(), b["gram"].to_pylist(), b["context"].to_pylist(), strict=True)}
     _, place, _, _, gram, context = suffix_dedup._anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
     assert places == set(zip(place.tolist(), gram.view(np.int64).tolist(), context.view(np.int64).tolist(), strict=True))
@@ -87,7 +87,7 @@ def test_suffix_dedup_at_cuts(table, monkeypatch):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (9000, 7050, 3000, 500)]
     data = texts[0].encode()
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([data], pa.binary())], ["key", "bytes"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([data], pa.binary())], ["key", "key2", "bytes"])
     places = [p for b in suffix_dedup._find_anchors(200)([batch]) for p in b["place"].to_pylist()]
     assert sorted(places) == sorted(suffix_dedup._anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 200)[1].tolist())
     # Repeats that lie across cuts, in one text and in two.

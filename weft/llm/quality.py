@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import column, drop_table, fresh, staged, text_of
+from .common import column, drop_table, staged, text_of
 from .linear import Rows, fit, logistic, platt, sigmoid
 from .words import hashed_words, lists, pieces_of, raw_bytes, sorted_unique
 
@@ -252,20 +252,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return model
 
 
-def _scored(docs: DataFrame, model: CoTrained, text_col: str, meta_cols, keep_from: float | None, out_cols: list[str]) -> tuple[DataFrame, str]:
-    """(``out_cols`` of ``docs`` with a score, the score's name); with ``keep_from``, only rows that reach it."""
+def _scored(docs: DataFrame, model: CoTrained, text_col: str, meta_cols, keep_from: float | None, out_cols: list[str]) -> DataFrame:
+    """``out_cols`` of ``docs``, under the names o0, o1 and so on, and ``score``; with ``keep_from``, only rows that reach it."""
     meta_cols = [c for c in meta_cols if c in docs.columns]
-    score_col, *names = fresh(docs, "_score", "_text", "_len", *[f"_m{k}" for k in range(len(meta_cols))])
+    names = ["text", "len", *[f"m{k}" for k in range(len(meta_cols))]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    passed = [f"o{k}" for k in range(len(out_cols))]
+    wanted = docs.select(*[column(c).alias(o) for c, o in zip(out_cols, passed, strict=True)], *_inputs(docs, text_col, meta_cols, names))
 
     def score(batches):
-        for b in pieces_of(batches, names[0]):
+        for b in pieces_of(batches, "text"):
             p = shared.value.score({v: rows_of(v, *x) for v, x in _features_of(b, names).items()})
-            out = pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(out_cols))], pa.array(p)], [*out_cols, score_col])
+            out = pa.RecordBatch.from_arrays([*[b.column(c) for c in passed], pa.array(p)], [*passed, "score"])
             yield out if keep_from is None else out.filter(pa.array(p >= keep_from))
 
-    wanted = docs.select(*[column(c) for c in out_cols])
-    return docs.select(*[column(c) for c in out_cols], *_inputs(docs, text_col, meta_cols, names)).transform(map_arrow, score, wanted.schema.add(score_col, "double")), score_col
+    return wanted.transform(map_arrow, score, wanted.select(*passed).schema.add("score", "double"))
 
 
 def quality_scores(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -275,11 +276,11 @@ def quality_scores(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", te
     null and repeated ids are scored like others; an empty table gives an empty
     result; other columns may have any name.
     """
-    out, score = _scored(docs, model, text_col, meta_cols, None, [id_col])
-    return out.select(column(id_col), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+    out = _scored(docs, model, text_col, meta_cols, None, [id_col])
+    return out.select(F.col("o0").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"), threshold: float = 0.5) -> DataFrame:
     """``docs``, all its columns, without the rows scored under ``threshold``. Rows are judged one by one, with the cases of ``quality_scores``."""
-    out, score = _scored(docs, model, text_col, meta_cols, threshold, docs.columns)
-    return out.drop(score)
+    out = _scored(docs, model, text_col, meta_cols, threshold, docs.columns)
+    return out.select(*[F.col(f"o{k}").alias(c) for k, c in enumerate(docs.columns)])
