@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import column, drop_table, staged, text_of
+from .common import apart, column, drop_table, staged, text_of
 from .linear import Rows, fit, logistic, platt, sigmoid
 from .words import hashed_words, lists, pieces_of, raw_bytes, sorted_unique
 
@@ -219,11 +219,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column("_id"), *[lists(*found[v], pa.int32()) for v in VIEWS]], ["_id", *VIEWS])
 
     features = docs.select(column(id_col).alias("_id"), *_inputs(docs, text_col, meta_cols, names)).transform(map_arrow, extract, f"_id {id_type}, text array<int>, meta array<int>")
-    # Labels grow with the documents; the planner joins them as their size asks for.
-    joined = features.join(known, F.col("_id") == F.col("_key"), "left").drop("_key").withColumn("h", F.when(F.col("_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("_id", F.lit(9))))
-    table = staged(joined, "features")
-    pool = table.where("_y IS NULL").select("h", *VIEWS)
-    sample = table.where("_y IS NOT NULL").orderBy("h", "_id").limit(max_labelled).select("_y", "h", *VIEWS).toArrow()
+    table = staged(features.withColumn("h", F.when(F.col("_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("_id", F.lit(9)))), "features")
+    # Labels grow with the documents. Features of documents that surely have none are not moved; the others meet theirs in a join.
+    rest, some = apart(table, F.xxhash64("_id"), known, F.xxhash64("_key"))
+    told = staged(some.join(known, F.col("_id") == F.col("_key"), "left").drop("_key"), "told")
+    pool = rest.select("h", *VIEWS).unionByName(told.where("_y IS NULL").select("h", *VIEWS))
+    labelled = told.where("_y IS NOT NULL")
+    # Hashes are even, so those below this hold a few more rows than are wanted, and only these are sorted.
+    share = min(1.0, 1.2 * max_labelled / max(1, labelled.count()))
+    below = labelled.where(F.col("h") <= F.lit(int((share - 0.5) * 2**64) - (share == 1.0)))
+    sample = below.orderBy("h", "_id").limit(max_labelled).select("_y", "h", *VIEWS).toArrow()
     y, held = sample.column("_y").to_numpy(), sample.column("h").to_numpy() % 5 == 0
     model = CoTrained()
     share = (y.sum() + 0.5) / (len(y) + 1.0)
@@ -249,6 +254,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 model.weights[v] = fit(rows[v].plus(more), np.concatenate([y, label]), np.concatenate([weight, count]), SIZES[v], model.weights[v], steps=60)
         model.stack = _stack(*[model.odds(v, rows[v])[held] for v in VIEWS], y[held])
     drop_table(table)
+    drop_table(told)
     return model
 
 
