@@ -32,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
@@ -249,6 +249,18 @@ def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
     return docs.select(*more, F.xxhash64(text_of(text_col)).alias("key"), F.hash(text_of(text_col)).alias("key2"), text_of(text_col).cast("binary").alias("bytes"))
 
 
+def _united(parts: str) -> Column:
+    """Sorted runs with those that overlap or touch made one."""
+
+    def step(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        apart = F.coalesce(x["begin"] > last["end"], F.lit(True))
+        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(apart, F.concat(out, F.array(x))).otherwise(F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer)))
+
+    return F.aggregate(parts, F.expr("cast(array() as array<struct<begin:int,end:int>>)"), step)
+
+
 def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, most: int = 4096) -> DataFrame:
     """``key, key2, runs``: for texts (named by two hashes) with repeated strings, the array of ``begin, end`` that cover them."""
     texts = _keyed(docs, text_col)
@@ -299,7 +311,9 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = 200, mo
     induced = shards.transform(map_arrow, _induce_shard(length), "context long, gram long, begin int, end int")
     for s in settled:
         induced = induced.unionByName(s)
-    covered = staged(induced.unionByName(whole), "covered")
+    # A context of a split group has a run from each of its parts; they are made one before they meet the anchors.
+    parts = induced.unionByName(whole).groupBy("context", "gram").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("parts"))
+    covered = staged(parts.select("context", "gram", F.inline(_united("parts"))), "covered")
     found = anchors.select(*KEYS, "place", "context", "gram").join(covered, ["context", "gram"])
     runs = staged(found.groupBy(*KEYS).agg(F.collect_set(F.struct((F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))).alias("runs")), "runs")
     for table in (*done, covered):
