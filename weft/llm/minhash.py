@@ -25,9 +25,9 @@ Links are found without pairing all members of a bucket:
 * what still spans several components is compared across them
 
 Before sets are fetched, a pair must pass two exact bounds: sizes within the
-threshold, and a parity map. Every element flips one of 512 bits, so the bits in
+threshold, and a parity map. Every element flips one of 2048 bits, so the bits in
 which two maps differ are a lower bound of how many elements the sets don't
-share. No pair that could reach the threshold is left out.
+share (a close one while those are fewer than the bits). No pair that could reach the threshold is left out.
 """
 
 from __future__ import annotations
@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import column, dealt_anew, settle, staged, text_of
+from .common import column, dealt_anew, drop_table, settle, staged, text_of
 from .components import components
 from .words import hashed_words, lists, mix, pieces_of, plain_text, shingles, sorted_unique
 
 BANDS, ROWS = 30, 5
-PARITY_WORDS = 8
+PARITY_WORDS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,7 +179,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = shared.select(dealt_anew("_k").alias("_i")).distinct()
     payload = rows.where("_set IS NOT NULL").select("_k", "_n", "_map", "_set")
     nodes = staged(payload.join(involved, payload["_k"] == involved["_i"], "left_semi").dropDuplicates(["_k"]), "nodes")
-    shared = staged(shared.join(nodes.select("_k", "_n", "_map"), "_k").select("bucket", "_k", "_n", *[F.get("_map", F.lit(w)).alias(f"m{w}") for w in range(PARITY_WORDS)]), "buckets")
+    met = shared
+    shared = staged(met.join(nodes.select("_k", "_n", "_map"), "_k").select("bucket", "_k", "_n", *[F.get("_map", F.lit(w)).alias(f"m{w}") for w in range(PARITY_WORDS)]), "buckets")
+    drop_table(met)
     own = ["_k", "_n", "root", *[f"m{w}" for w in range(PARITY_WORDS)]]
 
     def close(one: str, two: str) -> Column:
@@ -218,13 +220,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = prefixed(open_, "a").join(right, (F.col("abucket") == F.col("bbucket")) & (F.col("a_k") < F.col("b_k")) & close("a", "b"))
         pairs = pairs.select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b")).distinct()
         fresh = verify(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        drop_table(open_)
         checked = fresh if checked is None else checked.unionByName(fresh)
         if roots is None or not fresh.where(F.col("j") >= threshold).isEmpty():
             roots = components(checked.where(F.col("j") >= threshold).select("a", "b"))
+    drop_table(shared)
+    drop_table(nodes)
     if roots is None:
         roots = docs.sparkSession.sql("SELECT 0L AS node, 0L AS root WHERE false")
     named = rows.select("_id", "_row", "_k").join(roots, F.col("_k") == F.col("node"), "left").select("_id", "_row", F.coalesce("root", "_k").alias("_class"))
     named = staged(named, "classes")
+    drop_table(rows)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     sizes = named.groupBy("_class").agg(first.alias("first"), F.count("*").alias("class_size")).select(dealt_anew("_class").alias("_c"), "first", "class_size")
     kept = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_row") == F.col("first.row"))
