@@ -90,7 +90,8 @@ def apply_line_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_i
         F.expr("transform(sequence(0, element_at(words, -1).word), w -> coalesce(element_at(map_from_entries(words), w), 0L))").alias(b_words),
     )
     rest, some = apart(docs.withColumn(key, _row_key(text_col)), F.xxhash64(column(id_col), F.col(key)), bitmaps, F.xxhash64("_id", "_row"))
-    joined = some.join(table, (column(id_col) == F.col(b_id)) & (F.col(key) == F.col(b_row)), "left")
+    # Bitmaps grow with the documents, so they are never broadcast, at no size.
+    joined = some.join(table.hint("merge"), (column(id_col) == F.col(b_id)) & (F.col(key) == F.col(b_row)), "left")
     lines = F.split(text_of(text_col), "\n")
 
     def stays(_, i):
