@@ -37,8 +37,10 @@ from .words import hashed_words, pieces_of, plain_text, sorted_unique
 BLOCK = 64
 #: Words in more than this part of the examples are common.
 COMMON = 16
-#: Vectors whose postings are gathered at once; memory follows it.
+#: Vectors that go through the index together.
 BATCH = 64
+#: Postings of rare words that are gathered at once, so that memory does not follow the length of texts.
+GATHERED = 1 << 19
 
 
 def _gather(low: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -54,26 +56,47 @@ class BlockMaxIndex:
         """``rows``: (word hashes, counts) of each example; neighbours in the list share blocks."""
         self.vocab, self.idf, self.size = vocab, idf, len(rows)
         self.n_blocks = max(1, -(-len(rows) // BLOCK))
-        vectors = [self.vector(h, c) for h, c in rows]
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(len(rows)), [len(v[0]) for v in vectors]) if vectors else term
-        order = np.lexsort((example, term))
-        self._postings(np.bincount(term, minlength=len(vocab)), example[order], weight[order])
+        most = sum(len(h) for h, _ in rows)
+        term, example, weight, end = np.zeros(most, np.int32), np.zeros(most, np.int32), np.zeros(most), 0
+        for e, (h, c) in enumerate(rows):
+            at, w = self.vector(h, c)
+            term[end : end + len(at)], example[end : end + len(at)], weight[end : end + len(at)] = at, e, w
+            end += len(at)
+        term, example, weight = term[:end], example[:end], weight[:end]
+        order = np.argsort(term, kind="stable")  # examples are in order already
+        n = np.bincount(term, minlength=len(vocab))
+        del term
+        self._postings(n, example[order], weight[order])
 
     def _postings(self, n: np.ndarray, example: np.ndarray, weight: np.ndarray) -> None:
         """``n`` postings of each word, by word and example."""
-        self.n, self.example, self.weight, self.entry_low = n, example, weight, None
+        self.n, self.example, self.weight, self.entry_low = n, example.astype(np.int32), weight, None
         self.post_at = np.append(0, np.cumsum(n))
         common = np.flatnonzero(n > max(BLOCK, self.size // COMMON))
         self.dense_place = np.full(len(n), -1, np.int32)
         self.dense_place[common] = np.arange(len(common))
-        post = _gather(self.post_at[common], n[common])
-        self.dense = np.zeros((len(common), self.size))
-        self.dense[np.repeat(np.arange(len(common)), n[common]), example[post]] = weight[post]
-        starts = np.arange(0, self.size, BLOCK)
-        self.dense_max = np.maximum.reduceat(self.dense, starts, axis=1) if self.size and len(common) else np.zeros((len(common), len(starts)))
-        self.blocks = [np.ascontiguousarray(self.dense[:, low : low + BLOCK]) for low in starts]
+        self.blocks = [np.zeros((len(common), min(BLOCK, self.size - low))) for low in range(0, self.size, BLOCK)]
+        # Word by word of the matrix, so that only the blocks are ever as large as it.
+        for i, w in enumerate(common):
+            here = slice(self.post_at[w], self.post_at[w + 1])
+            block, place = np.divmod(self.example[here], BLOCK)
+            cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+            for j, end in zip(cut[:-1], cut[1:], strict=True):
+                self.blocks[block[j]][i, place[j:end]] = weight[here][j:end]
+        self.dense_max = np.stack([b.max(1) for b in self.blocks], axis=1) if self.size and len(common) else np.zeros((len(common), len(self.blocks)))
+
+    def by_likeness(self) -> np.ndarray:
+        """An order of the examples in which those of a block are alike in their common words."""
+        return by_likeness(np.concatenate([b.T for b in self.blocks], dtype=np.float32)) if self.blocks else np.zeros(0, np.int64)
+
+    def reorder(self, order: np.ndarray) -> None:
+        """Put the examples in this order."""
+        self.blocks = []  # room for the new ones
+        place = np.empty(self.size, np.int32)
+        place[order] = np.arange(self.size, dtype=np.int32)
+        example = place[self.example]
+        by = np.lexsort((example, np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)))
+        self._postings(self.n, example[by], self.weight[by])
 
     def _cut_blocks(self) -> None:
         """Entries of words and blocks with their largest weights."""
@@ -126,13 +149,18 @@ class BlockMaxIndex:
         terms, weights = (np.concatenate([v[c] for v in some]) for c in (0, 1))
         row = np.repeat(np.arange(len(some)), [len(v[0]) for v in some])
         dense = self.dense_place[terms]
-        queries = np.zeros((len(some), len(self.dense)))
+        queries = np.zeros((len(some), len(self.dense_max)))
         queries[row[dense >= 0], dense[dense >= 0]] = weights[dense >= 0]
         terms, weights, row = terms[dense < 0], weights[dense < 0], row[dense < 0]
         n = self.post_at[terms + 1] - self.post_at[terms]
-        post = _gather(self.post_at[terms], n)
-        exact = np.bincount(np.repeat(row, n) * self.size + self.example[post], np.repeat(weights, n) * self.weight[post], len(some) * self.size).reshape(len(some), self.size).astype(np.float64)
-        if not len(self.dense):
+        exact = np.zeros(len(some) * self.size)
+        ends = np.unique(np.append(np.searchsorted(np.cumsum(n), np.arange(GATHERED, n.sum(), GATHERED), "right"), len(n)))
+        for low, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            part = slice(low, end)
+            post = _gather(self.post_at[terms[part]], n[part])
+            exact += np.bincount(np.repeat(row[part], n[part]) * self.size + self.example[post], np.repeat(weights[part], n[part]) * self.weight[post], len(exact))
+        exact = exact.reshape(len(some), self.size)
+        if not len(self.dense_max):
             return exact
         starts = np.arange(0, self.size, BLOCK)
         bound = queries @ self.dense_max + np.maximum.reduceat(exact, starts, axis=1)
@@ -192,7 +220,7 @@ def by_likeness(vectors: np.ndarray) -> np.ndarray:
             order.append(part)
             continue
         x = vectors[part] - vectors[part].mean(0)
-        way = x[np.argmax((x * x).sum(1))]
+        way = x[np.argmax(np.einsum("ij,ij->i", x, x))]
         for _ in range(8):
             way = x.T @ (x @ way)
             way = way / max(1e-12, np.sqrt(way @ way))
@@ -281,9 +309,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     idf *= (1 + ratio) / (1 + ratio + 2 * np.log(max(2, len(vocab))))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     index = BlockMaxIndex(vocab, idf, [(r[2], r[3]) for r in rows])
-    order = by_likeness(index.dense.T)
+    order = index.by_likeness()
+    index.reorder(order)
     rows, y = [rows[i] for i in order], y[order]
-    index = BlockMaxIndex(vocab, idf, [(r[2], r[3]) for r in rows])
     model = Model(index, [r[1] for r in rows], y, float(y.mean()) if rows else 0.0, k)
     if 0 < y.sum() < len(y):
         margins = []
