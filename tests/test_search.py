@@ -335,3 +335,37 @@ def test_chains_of_bans_stay_linear(spark):
         plan = search(g, get(MONO, N(1) ^ N(2)), *bans).matches()._jdf.queryExecution().optimizedPlan().toString()
         joins.append(plan.count("Join "))
     assert max(joins) <= joins[0] + 1
+
+
+def two_sided(spark):
+    """Orders 0-19 and parts 100-111, some pairs of orders with two parts in common; DIR and UNDIR."""
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(20), 100 + rng.randrange(12)) for _ in range(70)})
+    return pairs, undirected(spark, *pairs), Graph.from_pairs(spark, D, pairs).stored()
+
+
+def joins(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_matches_are_not_moved_to_be_closed(spark):
+    """Pairs that must not be adjacent, rings and common neighbours come from the graph's triangles and rings."""
+    pairs, u, d = two_sided(spark)
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+        to.setdefault(b, set()).add(a)
+    path = search(u, get(SUBISO, N(0) ^ (N(1) ^ N(2)))).matches()
+    assert sorted(map(tuple, path.collect())) == sorted((a, b, c) for b in to for a in to[b] for c in to[b] if a != c)
+    assert joins(path) == 1
+
+
+@pytest.mark.parametrize("flip", [1, -1])
+def test_triangles_and_rings_of_a_graph(spark, flip):
+    rng = random.Random(9)
+    # One end has most of the edges, so that rings are taken from either end of the ids.
+    pairs = sorted({tuple(sorted((flip * rng.randrange(12), flip * rng.randrange(4)))) for _ in range(30)} | {(0, 0)})
+    to = {x: {b for p in pairs for a, b in (p, p[::-1]) if a == x and b != x} for p in pairs for x in p}
+    g = undirected(spark, *pairs)
+    assert sorted(map(tuple, g.triangles.collect())) == sorted((a, b, c) for a in to for b in to[a] for c in to[b] if c in to[a])
+    assert sorted(map(tuple, g.squares.collect())) == sorted((a, b, c, e) for a in to for b in to[a] for c in to[b] for e in to[c] if a in to[e] and a != c and b != e)

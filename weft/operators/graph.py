@@ -7,12 +7,13 @@ has ``n1 <= n2``, ``slot`` and maybe ``val``. (n1, n2, slot) is unique.
 from __future__ import annotations
 
 from functools import cached_property
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors as err
-from ..model import SRC, TGT, UND, Kind
+from ..model import FLIP, SRC, TGT, UND, Kind
 from ..sources.store import materialized
 
 PAIR_FLAG = {UND: "has_und", SRC: "has_src", TGT: "has_tgt"}
@@ -35,6 +36,7 @@ class Graph:
         self.nodes = _packed(nodes.withColumn("id", F.col("id").cast("long")), ["id"])
         self.edges = _packed(edges.withColumns({c: F.col(c).cast("long") for c in ("n1", "n2")}).drop("eid"), ["n1", "n2", "slot"])
         self._tier = None
+        self._pairs = None
         self.tier = "raw"
 
     # Construction
@@ -133,18 +135,68 @@ class Graph:
         if self.kind is Kind.UNDIR:
             values = [F.col("val").alias("v_und")] if self.edge_value else []
             out = self.half.select("src", "dst", F.lit(1).alias("n_slots"), F.lit(True).alias("has_und"), *values)
+        elif self._pairs is not None:
+            swap = {name[slot]: name[FLIP[slot]] for name in (PAIR_FLAG, PAIR_VALUE) for slot in self.kind.slots}
+            back = self._pairs.where("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[F.col(swap.get(c, c)).alias(c) for c in self._pairs.columns[2:]])
+            out = self._pairs.unionByName(back)
         else:
-            aggs = [F.count("*").cast("int").alias("n_slots")]
-            for slot in self.kind.slots:
-                here = F.col("slot") == slot
-                aggs.append(F.max(here).alias(PAIR_FLAG[slot]))
-                if self.edge_value:
-                    aggs.append(F.first(F.when(here, F.col("val")), ignorenulls=True).alias(PAIR_VALUE[slot]))
-            out = self.half.groupBy("src", "dst").agg(*aggs)
+            out = self._grouped(self.half)
         if self._tier == "pair":
             out = out.repartition("src").persist()
         return out
 
+    def _grouped(self, half: DataFrame) -> DataFrame:
+        """Rows of ``half`` as one row for each ordered pair."""
+        aggs = [F.count("*").cast("int").alias("n_slots")]
+        for slot in self.kind.slots:
+            here = F.col("slot") == slot
+            aggs.append(F.max(here).alias(PAIR_FLAG[slot]))
+            if self.edge_value:
+                aggs.append(F.first(F.when(here, F.col("val")), ignorenulls=True).alias(PAIR_VALUE[slot]))
+        return half.groupBy("src", "dst").agg(*aggs)
+
+    @property
+    def _links(self) -> DataFrame:
+        """Adjacent pairs of different nodes, once each, as lo < hi."""
+        out = self.edges.where("n1 < n2").select(F.col("n1").alias("lo"), F.col("n2").alias("hi"))
+        return out if self.kind is Kind.UNDIR else out.distinct()
+
+    @cached_property
+    def triangles(self) -> DataFrame:
+        """x, y, z: all pairs adjacent; written once, in each of the six orders.
+
+        A triangle is found at its middle id, from paths that ascend, so it costs no
+        more rows than a third of the paths of two edges, and none where ids part
+        the nodes into two sides.
+        """
+        up, on = self._links.withColumnsRenamed({"lo": "a", "hi": "b"}), self._links.withColumnsRenamed({"lo": "b", "hi": "c"})
+        found = up.join(on, "b").join(self._links, (F.col("a") == F.col("lo")) & (F.col("c") == F.col("hi")), "left_semi")
+        orders = F.array(*[F.struct(*[F.col(c).alias(x) for c, x in zip(cols, "xyz", strict=True)]) for cols in permutations("abc")])
+        return materialized(found.select(F.explode(orders).alias("_t")).select("_t.*"))
+
+    @cached_property
+    def squares(self) -> DataFrame:
+        """w, x, y, z: a ring of four different nodes; written once, in each of its eight orders.
+
+        A ring is two paths of two edges that leave its extreme node and meet opposite
+        it, so only paths below that node are made: those at the side of the graph
+        with fewer neighbours each, and never more than half of all.
+        """
+        def weight(c: str) -> float:
+            return self._links.groupBy(c).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") ** 2)).first()[0] or 0.0
+
+        down = weight("lo") > weight("hi")
+        # With ids negated, the extreme node is the smallest.
+        links = self._links.select((-F.col("hi")).alias("lo"), (-F.col("lo")).alias("hi")) if down else self._links
+        step = links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+        paths = step.join(links.select(F.col("lo").alias("u"), F.col("hi").alias("w")), "u").where("w < v").select("v", "w", "u")
+        paths = paths.unionByName(step.join(links.select(F.col("hi").alias("u"), F.col("lo").alias("w")), "u").select("v", "w", "u"))
+        found = paths.join(paths.withColumnRenamed("u", "u2"), ["v", "w"]).where("u < u2")
+        ring = ["v", "u", "w", "u2"]
+        turned = [ring[k:] + ring[:k] for k in range(4)]
+        orders = F.array(*[F.struct(*[(-F.col(c) if down else F.col(c)).alias(x) for c, x in zip(cols, "wxyz", strict=True)]) for cols in turned + [t[::-1] for t in turned]])
+        return materialized(found.select(F.explode(orders).alias("_t")).select("_t.*"))
+
     @cached_property
     def degrees(self) -> DataFrame:
         """id, deg: distinct neighbours, 0 for isolated nodes."""
@@ -165,9 +217,16 @@ class Graph:
         return out
 
     def stored(self) -> Graph:
-        """The same graph with nodes, edges and the pair view written once, pairs dealt by their first node: for graphs that are computed and then searched."""
-        out = Graph(self.kind, materialized(self.nodes), materialized(self.edges))
-        out.pair = materialized(out.pair if self.kind is not Kind.UNDIR else out.pair.repartition("src"))
+        """The same graph with nodes and edges written once, in order of their ids: for graphs that are computed and then searched.
+
+        Pairs of kinds with several slots are grouped and written once too, the
+        smaller id first; the other direction is read from the same rows.
+        """
+        edges = materialized(self.edges.sortWithinPartitions("n1", "n2"), compression="zstd")
+        out = Graph(self.kind, materialized(self.nodes.sortWithinPartitions("id"), compression="zstd"), edges)
+        if self.kind is not Kind.UNDIR:
+            one_way = out.half.where("src <= dst")
+            out._pairs = materialized(out._grouped(one_way).sortWithinPartitions("src", "dst"), compression="zstd")
         return out
 
     # Lookups

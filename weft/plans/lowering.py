@@ -11,18 +11,18 @@ skew is split, is left to the planner.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pattern import MISSING, test_column
-from ..model import ANY, Morphism
+from ..model import ANY, Kind, Morphism
 from ..operators.graph import PAIR_FLAG, PAIR_VALUE, Graph
 from ..sources.store import materialized
 from .compiler import Ban, CompiledQuery, PatternEdge, PatternNode
 
-
 def name(p: int) -> str:
     return f"n{p}"
 
@@ -58,8 +58,11 @@ class Lowering:
         self.bound: list[int] = []
         self.given = [p for p in query.order if start is not None and name(p) in start.columns]
         self._frame = start
+        self._start = start is not None
         self._first: int | None = None
         self._bans = 0
+        self.ring: list[int] = []
+        self._next: int | None = None
 
     @property
     def out(self) -> DataFrame:
@@ -103,8 +106,19 @@ class Lowering:
 
     # Get clusters
 
+    @property
+    def whole(self) -> bool:
+        """Whether the search is over the whole graph, so that its triangles and rings are worth finding first."""
+        return not self._start and all(x.pinned is None for x in self.query.nodes.values())
+
+    def apart(self, *nodes: int) -> bool:
+        """Whether the images of all these nodes must differ."""
+        return all(self.query.later(p, q).morphism.injective for p, q in combinations(nodes, 2))
+
     def run(self) -> DataFrame:
-        for p in self.plan():
+        order = self.plan()
+        for k, p in enumerate(order):
+            self._next = order[k + 1] if k + 1 < len(order) else None
             self.bind(p)
         self.global_rules()
         for b in self.query.bans:
@@ -115,7 +129,7 @@ class Lowering:
         """Which node to join next: given and pinned ones, then by links into what is bound and by conditions. Matches don't depend on it."""
         rest = list(self.query.order)
         links = {p: {q for q in rest if q != p and self.between(p, q, False)} for p in rest}
-        done = [p for p in rest if p in self.given]
+        done = [p for p in rest if p in self.given or p in self.ring]
         rest = [p for p in rest if p not in done]
 
         def worth(p: int) -> tuple:
@@ -149,11 +163,21 @@ class Lowering:
             test = reduce(and_, [edge_test(self.graph, x, q) for x in edges])
             return test & (F.col("n_slots") == len(edges)) if self.query.later(p, q).morphism.induced else test
 
+        def adjacent(q: int) -> bool:
+            """Whether being adjacent is all that is asked of the pair."""
+            return self.graph.kind is Kind.UNDIR and not any(x.has_predicate for x in self.between(p, q, False))
+
         if p in self.given:
             # A table's ids are checked like candidates: they must be nodes.
             self.out = self.out.join(self.candidates(p), col, "left_semi").where(apart)
             for q in linked:
                 self.out = self.out.join(self.pairs(q, p, together(q)), self.on(name(q), col), "left_semi")
+        elif p in self.ring:
+            if self._restricted(p):
+                self.out = self.out.join(self.candidates(p), col, "left_semi")
+            for q in linked:
+                if not adjacent(q) or abs(self.ring.index(p) - self.ring.index(q)) == 2:
+                    self.out = self.out.join(self.pairs(q, p, together(q)), self.on(name(q), col), "left_semi")
         elif not self.bound and not self.given and not (self._restricted(p) or loops or fit is not None):
             self._first = p
         elif not self.bound and not self.given:
@@ -161,7 +185,13 @@ class Lowering:
         elif linked:
             first, *others = linked
             step = self.pairs(first, p, together(first)).withColumnRenamed("_d", col)
-            if self._frame is None:
+            if self._frame is None and self._next is not None and self.between(self._next, p, False) and not self.between(self._next, first, False):
+                # Read from the end that is joined next, as that join's other side is, so that both share an exchange.
+                edges = self.between(p, first, False)
+                test = reduce(and_, [edge_test(self.graph, x, p) for x in edges])
+                test = test & (F.col("n_slots") == len(edges)) if self.query.later(p, first).morphism.induced else test
+                self.out = self.pairs(p, first, test).withColumnsRenamed({"_s": col, "_d": name(first)}).where(apart)
+            elif self._frame is None:
                 self.out = step.withColumnRenamed("_s", name(first)).where(apart)
             else:
                 self.out = self.out.join(step, F.col(name(first)) == F.col("_s")).where(apart).drop("_s")
@@ -177,12 +207,24 @@ class Lowering:
         for q in self.bound:
             for x in self.between(p, q, True):
                 self.out = self.out.join(self.pairs(q, p, edge_test(self.graph, x, q)), self.on(name(q), col), "left_anti")
-            if self.query.later(p, q).morphism.induced and q not in linked:
+            if self.query.later(p, q).morphism.induced and q not in linked and not self._open(q, p, [r for r in linked if self.between(q, r, False)]):
                 self.out = self.out.join(self.pairs(q, p, F.lit(True)), self.on(name(q), col), "left_anti")
         if fit is not None:
             self.out = self.out.join(self.graph.degrees.where(fit).select(F.col("id").alias(col)), col, "left_semi")
         self.bound.append(p)
 
+    def _open(self, q: int, p: int, linked: list[int]) -> bool:
+        """Drop matches in which q and p are adjacent, by the graph's triangles over a node next to both. False if that doesn't apply or isn't less than joining all pairs."""
+        if not linked or not self.whole or not self.apart(q, linked[0], p):
+            return False
+        n = self.graph.triangles.count()
+        if n > self.graph.edge_count():
+            return False
+        if n:
+            on = reduce(and_, [F.col(name(r)) == F.col(c) for r, c in zip((q, linked[0], p), "xyz", strict=True)])
+            self.out = self.out.join(self.graph.triangles, on, "left_anti")
+        return True
+
     def global_rules(self) -> None:
         order = self.query.order
         if not order:

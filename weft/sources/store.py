@@ -38,9 +38,9 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written once and read back: its lineage ends here, and lost executors lose nothing."""
-    return written(df, f"{shared_folder(df.sparkSession)}/weft-graph/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    return written(df, f"{shared_folder(df.sparkSession)}/weft-graph/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}", **options)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
