@@ -115,7 +115,20 @@ class Lowering:
         """Whether the images of all these nodes must differ."""
         return all(self.query.later(p, q).morphism.injective for p, q in combinations(nodes, 2))
 
+    def find_ring(self) -> list[int]:
+        """Four nodes that edges join to a ring, or none."""
+        links = {p: [q for q in self.query.order if q != p and self.between(p, q, False)] for p in self.query.order}
+        for a in self.query.order:
+            for b, d in combinations(links[a], 2):
+                for c in links[b]:
+                    if c != a and c in links[d] and self.apart(a, b, c, d):
+                        return [a, b, c, d]
+        return []
+
     def run(self) -> DataFrame:
+        if self.whole and (ring := self.find_ring()):
+            self.ring = ring
+            self.out = self.graph.squares.select(*[F.col(c).alias(name(p)) for c, p in zip("wxyz", ring, strict=True)])
         order = self.plan()
         for k, p in enumerate(order):
             self._next = order[k + 1] if k + 1 < len(order) else None
