@@ -23,6 +23,10 @@ from ..operators.graph import PAIR_FLAG, PAIR_VALUE, Graph
 from ..sources.store import materialized
 from .compiler import Ban, CompiledQuery, PatternEdge, PatternNode
 
+#: Rows of a ban's hits that are broadcast at most, some 100 MB.
+BROADCAST_ROWS = 1_000_000
+
+
 def name(p: int) -> str:
     return f"n{p}"
 
@@ -267,7 +271,7 @@ class Lowering:
             # Each match has the flags of its own pairs, so nothing has to be joined back.
             self.out = marked.where(~reduce(and_, tests, F.lit(True))).select(*[name(p) for p in known])
             return
-        if self._simple(b, list(b.extra), touching, tests):
+        if self._simple(b, list(b.extra), touching, tests) or self._ringed(b, list(b.extra), touching, tests):
             return
         if self._bans:
             # The frame is read twice below; written out, a chain of bans stays linear.
@@ -338,6 +342,32 @@ class Lowering:
         self.out = self.out.join(step, on, "left_anti")
         return True
 
+    def _ringed(self, b: Ban, left: list[int], touching: list[PatternEdge], tests: list[Column]) -> bool:
+        """One further node next to two bound nodes that share another bound neighbour: the graph's rings of four tell where there is one, and the matches aren't extended."""
+        if len(left) != 1 or tests or not self.whole or not b.morphism.injective or any(x.negated or x.a == x.b for x in touching):
+            return False
+        p = left[0]
+        ends = sorted({x.other(p) for x in touching})
+        if len(ends) != 2 or not set(ends) <= set(self.bound):
+            return False
+        q, s = ends
+        r = next((r for r in self.bound if r not in ends and self.between(r, q, False) and self.between(r, s, False) and self.apart(r, q, s)), None)
+        if r is None:
+            return False
+        hits = self.graph.squares.select(*[F.col(c).alias(f"_r{k}") for k, c in zip((r, q, p, s), "wxyz", strict=True)])
+        for k in ends:
+            test = reduce(and_, [edge_test(self.graph, x, k, plain=True) for x in touching if x.other(p) == k])
+            hits = hits.join(self.pairs(k, p, test), self.on(f"_r{k}", f"_r{p}"), "left_semi")
+        if self._restricted(p):
+            hits = hits.join(self.candidates(p), F.col(f"_r{p}") == F.col(name(p)), "left_semi")
+        others = [k for k in self.bound if k not in (r, q, s)]
+        hits = materialized(hits.select(*[f"_r{k}" for k in ((r, q, s, p) if others else (r, q, s))]).distinct())
+        if hits.count() <= BROADCAST_ROWS:
+            hits = F.broadcast(hits)
+        on = [F.col(name(k)) == F.col(f"_r{k}") for k in (r, q, s)] + [F.col(name(k)) != F.col(f"_r{p}") for k in others]
+        self.out = self.out.join(hits, reduce(and_, on), "left_anti")
+        return True
+
     def _extend(self, hits: DataFrame, b: Ban, p: int, known: list[int], touching: list[PatternEdge], last: bool) -> DataFrame:
         col = name(p)
         mine = [x for x in touching if p in (x.a, x.b) and (x.other(p) in known or x.a == x.b)]
