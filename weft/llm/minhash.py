@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import column, dealt_anew, drop_table, settle, staged, text_of
+from .common import apart, column, dealt_anew, drop_table, settle, staged, text_of
 from .components import components
 from .words import hashed_words, lists, mix, pieces_of, plain_text, shingles, sorted_unique
 
@@ -176,9 +176,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = rows.where("_buckets IS NOT NULL").select("_k", F.explode("_buckets").alias("bucket"))
     crowded = flat.groupBy("bucket").agg(F.min("_k").alias("lead"), F.max("_k").alias("most")).where("lead < most").select(dealt_anew("bucket").alias("_b"))
     shared = staged(flat.join(crowded, flat["bucket"] == crowded["_b"], "left_semi").distinct(), "buckets")
-    involved = shared.select(dealt_anew("_k").alias("_i")).distinct()
-    payload = rows.where("_set IS NOT NULL").select("_k", "_n", "_map", "_set")
-    nodes = staged(payload.join(involved, payload["_k"] == involved["_i"], "left_semi").dropDuplicates(["_k"]), "nodes")
+    involved = staged(shared.select(dealt_anew("_k").alias("_i")).distinct(), "involved")
+    # Most sets are in no shared bucket, and a bit map says so of nearly all of these before any set is moved. Joins are by sort-merge at every size.
+    _, payload = apart(rows.where("_set IS NOT NULL").select("_k", "_n", "_map", "_set"), F.col("_k"), involved, F.col("_i"))
+    nodes = staged(payload.join(involved.hint("merge"), payload["_k"] == involved["_i"], "left_semi").dropDuplicates(["_k"]), "nodes")
+    drop_table(involved)
     met = shared
     shared = staged(met.join(nodes.select("_k", "_n", "_map"), "_k").select("bucket", "_k", "_n", *[F.get("_map", F.lit(w)).alias(f"m{w}") for w in range(PARITY_WORDS)]), "buckets")
     drop_table(met)
@@ -187,9 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def close(one: str, two: str) -> Column:
         """Different components, and within both bounds."""
         n1, n2 = F.col(f"{one}_n"), F.col(f"{two}_n")
-        apart = sum((F.bit_count(F.col(f"{one}m{w}").bitwiseXOR(F.col(f"{two}m{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"{one}m{w}").bitwiseXOR(F.col(f"{two}m{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
         sizes = (n1 >= n2 * threshold - 1) & (n2 >= n1 * threshold - 1)
-        return (F.col(f"{one}root") != F.col(f"{two}root")) & sizes & (apart <= (1 - threshold) / (1 + threshold) * (n1 + n2) + 1e-6)
+        return (F.col(f"{one}root") != F.col(f"{two}root")) & sizes & (differ <= (1 - threshold) / (1 + threshold) * (n1 + n2) + 1e-6)
 
     def prefixed(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in ["bucket", *own]])
