@@ -11,9 +11,11 @@ from ..sources.store import delete_folder, shared_folder, written
 
 #: Bits of the map that ``apart`` broadcasts: 2**17 rows of two longs at most, whatever it is made from.
 MAP_BITS = 1 << 23
+#: Rows with whole texts that a Python worker is sent at once: Spark's 10000 are tens of MB in the executor and again in its worker.
+TEXT_ROWS = 1000
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage with files that survive lost executors, and keeps a
@@ -23,7 +25,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
-    out = written(df, path, compression="zstd")
+    out = written(df, path, batch_rows, compression="zstd")
     out._staged_at = path
     return out
 
@@ -70,6 +72,11 @@ def apart(docs: DataFrame, key: Column, table: DataFrame, table_key: Column) ->
     return joined.where(~hit).drop(place, word, bits), joined.where(hit).drop(place, word, bits)
 
 
+def among(docs: DataFrame, key: Column, table: DataFrame, table_key: Column) -> DataFrame:
+    """Rows whose key may be in ``table``, and of the others those few that share a place of the bit map with one of its keys."""
+    return apart(docs, key, table, table_key)[1]
+
+
 def settle(docs: DataFrame, id_col: str, key: Column, marks: DataFrame) -> DataFrame:
     """``docs`` after the decisions in ``marks`` (``_id, _key, _drop``, each pair once).
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
 from .common import column, settle, staged, text_of
-from .words import hashed_words, mix, pieces_of, plain_text
+from .words import PIECE, hashed_words, mix, pieces_of, plain_text
 
 MASKS = ("11101011", "11001111")
 WINDOW, LEAST = 13, 0.8
@@ -92,7 +92,7 @@ def _seeds(text_col: str, keys: list[str], windows: tuple[int, ...], known, whol
 
     def run(batches):
         bits = None if known is None else known.value
-        for b in pieces_of(batches, text_col):
+        for b in pieces_of(batches, text_col, PIECE):
             words, at = hashed_words(b.column(text_col))
             words[words == 0] = np.uint64(1)
             n_words = np.diff(at)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,15 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file:{tempfile.gettempdir()}/weft-{context.applicationId}"
 
 
-def written(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet and read back. The shuffle files of the write go as soon as it is done."""
+def written(df: DataFrame, path: str, batch_rows: int | None = None, **options: str) -> DataFrame:
+    """``df`` written as Parquet and read back. The shuffle files of the write go as soon as it is done. Python workers are sent ``batch_rows`` rows at once, if given."""
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
+    cleanup, batch = spark.conf.get(_CLEANUP, "false"), spark.conf.get(_BATCH)
     spark.conf.set(_CLEANUP, "true")
+    if batch_rows is not None:
+        spark.conf.set(_BATCH, str(batch_rows))
     try:
         df.write.options(**options).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, cleanup)
+        spark.conf.set(_BATCH, batch)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,8 +73,22 @@ def drop_materialized(spark: SparkSession) -> None:
     delete_folder(spark, f"{shared_folder(spark)}/weft-graph/{spark.sparkContext.applicationId}")
 
 
+def release_memory() -> None:
+    """Give back what this process holds but doesn't use. Idle Python workers stay with an executor, and would keep what their last task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a function of glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` on executors that may not have this package installed: it is sent to them once an application."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
@@ -77,4 +98,4 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
                 z.write(f, f.relative_to(package.parent))
         context.addPyFile(str(target))
         _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released, schema)
