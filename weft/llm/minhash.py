@@ -24,6 +24,10 @@ Links are found without pairing all members of a bucket:
   compared with a further leader (``rounds`` times)
 * what still spans several components is compared across them
 
+Buckets hold numbers and sizes only; maps and then sets go to the pairs that are
+left. Joins on buckets and on nodes are by sort-merge at every size, so that what
+is moved grows with the rows and not with the planner's choice.
+
 Before sets are fetched, a pair must pass two exact bounds: sizes within the
 threshold, and a parity map. Every element flips one of 2048 bits, so the bits in
 which two maps differ are a lower bound of how many elements the sets don't
@@ -38,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import map_arrow
-from .common import apart, column, dealt_anew, drop_table, settle, staged, text_of
+from .common import TEXT_ROWS, among, apart, column, dealt_anew, drop_table, settle, staged, text_of
 from .components import components
 from .words import hashed_words, lists, mix, pieces_of, plain_text, shingles, sorted_unique
 
@@ -115,7 +119,7 @@ def _occurrences(runs: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[
 def _sketch(bands: int, rows: int, n: int, weighted: bool):
     def run(batches):
         seen: set[int] = set()
-        for b in pieces_of(batches, "_text", 1 << 20):
+        for b in pieces_of(batches, "_text", 1 << 18):
             runs, runs_at, counts = sorted_unique(*shingles(*hashed_words(b.column("_text")), n))
             values, at = (_occurrences(runs, runs_at, counts)) if weighted else (runs, runs_at)
             size = np.diff(at)
@@ -172,57 +176,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             map_arrow, _sketch(bands, rows_per_band, shingle, weighted), f"_id {id_type}, _row long, _k long, _n int, _set array<int>, _buckets array<long>, _map array<long>"
         ),
         "sketches",
+        TEXT_ROWS,
     )
     flat = rows.where("_buckets IS NOT NULL").select("_k", F.explode("_buckets").alias("bucket"))
     crowded = flat.groupBy("bucket").agg(F.min("_k").alias("lead"), F.max("_k").alias("most")).where("lead < most").select(dealt_anew("bucket").alias("_b"))
-    shared = staged(flat.join(crowded, flat["bucket"] == crowded["_b"], "left_semi").distinct(), "buckets")
-    involved = staged(shared.select(dealt_anew("_k").alias("_i")).distinct(), "involved")
+    met = staged(flat.join(crowded.hint("merge"), flat["bucket"] == crowded["_b"], "left_semi").distinct(), "buckets")
+    involved = staged(met.select(dealt_anew("_k").alias("_i")).distinct(), "involved")
     # Most sets are in no shared bucket, and a bit map says so of nearly all of these before any set is moved. Joins are by sort-merge at every size.
     _, payload = apart(rows.where("_set IS NOT NULL").select("_k", "_n", "_map", "_set"), F.col("_k"), involved, F.col("_i"))
     nodes = staged(payload.join(involved.hint("merge"), payload["_k"] == involved["_i"], "left_semi").dropDuplicates(["_k"]), "nodes")
     drop_table(involved)
-    met = shared
-    shared = staged(met.join(nodes.select("_k", "_n", "_map"), "_k").select("bucket", "_k", "_n", *[F.get("_map", F.lit(w)).alias(f"m{w}") for w in range(PARITY_WORDS)]), "buckets")
+    shared = staged(met.join(nodes.select("_k", "_n").hint("merge"), "_k").select("bucket", "_k", "_n"), "buckets")
     drop_table(met)
-    own = ["_k", "_n", "root", *[f"m{w}" for w in range(PARITY_WORDS)]]
+    words = [F.get("_map", F.lit(w)).alias(f"m{w}") for w in range(PARITY_WORDS)]
+
+    def sizes_fit(n1: str, n2: str) -> Column:
+        return (F.col(n1) >= F.col(n2) * threshold - 1) & (F.col(n2) >= F.col(n1) * threshold - 1)
 
-    def close(one: str, two: str) -> Column:
-        """Different components, and within both bounds."""
-        n1, n2 = F.col(f"{one}_n"), F.col(f"{two}_n")
+    def maps_fit(one: str, two: str) -> Column:
+        """Few enough bits differ between the maps with these prefixes."""
         differ = sum((F.bit_count(F.col(f"{one}m{w}").bitwiseXOR(F.col(f"{two}m{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
-        sizes = (n1 >= n2 * threshold - 1) & (n2 >= n1 * threshold - 1)
-        return (F.col(f"{one}root") != F.col(f"{two}root")) & sizes & (differ <= (1 - threshold) / (1 + threshold) * (n1 + n2) + 1e-6)
+        return differ <= (1 - threshold) / (1 + threshold) * (F.col(f"{one}_n") + F.col(f"{two}_n")) + 1e-6
 
     def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in ["bucket", *own]])
+        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+
+    def mapped(pairs: DataFrame) -> DataFrame:
+        """Of the distinct pairs ``a, b`` those whose maps are within the bound."""
+        light = nodes.select("_k", "_n", *words)
+        one, two = prefixed(light, "a"), prefixed(light, "b")
+        return pairs.join(one.hint("merge"), F.col("a") == F.col("a_k")).join(two.hint("merge"), F.col("b") == F.col("b_k")).where(maps_fit("a", "b")).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """``a, b, j`` of distinct pairs."""
-        one, two = nodes.select(F.col("_k").alias("a"), F.col("_set").alias("_sa")), nodes.select(F.col("_k").alias("b"), F.col("_set").alias("_sb"))
+        """``a, b, j`` of distinct pairs. Sets of nodes that are in no pair stay where they are."""
+        pairs = staged(pairs, "pairs")
+        some = among(nodes.select("_k", "_set"), F.col("_k"), pairs.select(F.explode(F.array("a", "b")).alias("_e")), F.col("_e"))
+        one, two = some.select(F.col("_k").alias("a"), F.col("_set").alias("_sa")), some.select(F.col("_k").alias("b"), F.col("_set").alias("_sb"))
         both = F.size(F.array_intersect("_sa", "_sb"))
-        return staged(pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("_sa") + F.size("_sb") - both)).alias("j")), "verified")
+        out = staged(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", (both / (F.size("_sa") + F.size("_sb") - both)).alias("j")), "verified")
+        drop_table(pairs)
+        return out
 
     checked, roots = None, None
     for turn in range(rounds + 2):
         here = shared.withColumn("root", F.col("_k"))
         if roots is not None:
-            here = shared.join(roots, shared["_k"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "_k"))
+            here = shared.join(roots.hint("merge"), shared["_k"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "_k"))
         wide = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(dealt_anew("bucket").alias("_b"))
-        open_ = staged(here.join(wide, here["bucket"] == wide["_b"], "left_semi"), "open")
+        open_ = staged(here.join(wide.hint("merge"), here["bucket"] == wide["_b"], "left_semi"), "open")
         if open_.isEmpty():
             break
-        right = prefixed(open_, "b")
+        wider = None
         if turn <= rounds:
             # x -> x XOR h(bucket, turn) is a bijection, so its minimum is a random member on which all partial results agree.
             noise = F.xxhash64("bucket", F.lit(turn)) if turn else F.lit(0).cast("long")
-            lead = open_.groupBy("bucket").agg(F.min(F.col("_k").bitwiseXOR(noise)).alias("x")).select(dealt_anew("bucket").alias("_b"), F.col("x").bitwiseXOR(noise).alias("pick"))
-            left = prefixed(open_.join(lead, (F.col("bucket") == F.col("_b")) & (F.col("_k") == F.col("pick"))), "a")
-            pairs = right.join(left, (F.col("abucket") == F.col("bbucket")) & close("a", "b"))
+            rank = F.col("_k").bitwiseXOR(noise)
+            lead = open_.groupBy("bucket").agg(F.min(rank).alias("x"), F.min_by("root", rank).alias("lead_root"), F.min_by("_n", rank).alias("lead_n")).select(dealt_anew("bucket").alias("_b"), F.col("x").bitwiseXOR(noise).alias("pick"), "lead_root", "lead_n")
+            met = open_.join(lead.hint("merge"), F.col("bucket") == F.col("_b")).where((F.col("root") != F.col("lead_root")) & sizes_fit("_n", "lead_n"))
+            pairs = met.select(F.least("_k", "pick").alias("a"), F.greatest("_k", "pick").alias("b")).distinct()
         else:
-            pairs = prefixed(open_, "a").join(right, (F.col("abucket") == F.col("bbucket")) & (F.col("a_k") < F.col("b_k")) & close("a", "b"))
-        pairs = pairs.select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b")).distinct()
-        fresh = verify(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+            # All members are compared here, so both bounds hold in the join itself.
+            wider = staged(open_.join(nodes.select(F.col("_k").alias("_i"), *words).hint("merge"), F.col("_k") == F.col("_i")).drop("_i"), "open")
+            left, right = prefixed(wider, "a"), prefixed(wider, "b")
+            near = (F.col("aroot") != F.col("broot")) & sizes_fit("a_n", "b_n") & maps_fit("a", "b")
+            pairs = left.join(right.hint("merge"), (F.col("abucket") == F.col("bbucket")) & (F.col("a_k") < F.col("b_k")) & near).select(F.col("a_k").alias("a"), F.col("b_k").alias("b")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = verify(mapped(pairs) if wider is None else pairs)
         drop_table(open_)
+        if wider is not None:
+            drop_table(wider)
         checked = fresh if checked is None else checked.unionByName(fresh)
         if roots is None or not fresh.where(F.col("j") >= threshold).isEmpty():
             roots = components(checked.where(F.col("j") >= threshold).select("a", "b"))
@@ -230,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_table(nodes)
     if roots is None:
         roots = docs.sparkSession.sql("SELECT 0L AS node, 0L AS root WHERE false")
-    named = rows.select("_id", "_row", "_k").join(roots, F.col("_k") == F.col("node"), "left").select("_id", "_row", F.coalesce("root", "_k").alias("_class"))
+    named = rows.select("_id", "_row", "_k").join(roots.hint("merge"), F.col("_k") == F.col("node"), "left").select("_id", "_row", F.coalesce("root", "_k").alias("_class"))
     named = staged(named, "classes")
     drop_table(rows)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
